@@ -159,6 +159,8 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
     others = [c for c in docs.columns if c != text]
     frame = docs.select(*others, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"))
 
+    names = frame.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(ranks, pattern)
         for batch in batches:
@@ -170,7 +172,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
                     one.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     two.append(hashlib.sha256(vocabulary.decode(ids.tolist())).hexdigest())
                 rest = [c for k, c in enumerate(part.columns) if k != at]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(one), pa.array(two)], names=frame.columns)
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(one), pa.array(two)], names=names)
 
     return docs.mapInArrow(run, frame.schema)
 
