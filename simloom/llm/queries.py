@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from simloom.llm import bpe
+from simloom.llm import bpe, langid
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +18,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them.
+
+    A document without doc_id is neither learned from nor held out.
+    """
+    docs = _read(spark, sf_dir, "documents")
+    part = langid.remainder("doc_id", 3)
+    learned = langid.profiles(docs.where(part != 1))
+    held = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(held, learned)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids and decoded bytes of every document, as digests."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +37,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_langid": op4_langid,
     "op6_bpe": op6_bpe,
 }
 
