@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import bpe, langid
+from simloom.llm import bpe, langid, toxicity
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels.
+
+    A label without doc_id is not learned from; a document without one is not held out.
+    """
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(langid.remainder("doc_id", 5) != 0)
+    model = toxicity.language_model(docs)
+    classifier = toxicity.fit(docs, labels, model)
+    held = docs.select("doc_id", F.coalesce(langid.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(held, model, classifier).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them.
 
@@ -37,6 +50,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_langid": op4_langid,
     "op6_bpe": op6_bpe,
 }
