@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import bpe, langid, toxicity
+from simloom.llm import bpe, langid, repeats, toxicity
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, model, classifier).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that lie in repeated 400-byte strings, removed from every document."""
+    return repeats.digests(_read(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them.
 
@@ -51,6 +56,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op4_langid": op4_langid,
     "op6_bpe": op6_bpe,
 }
