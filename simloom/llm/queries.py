@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import bpe, langid, repeats, toxicity
+from simloom.llm import bpe, langid, nearcopies, repeats, toxicity
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(held, learned)
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document: five-word shingles, similarity 0.8."""
+    return nearcopies.classes(_read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids and decoded bytes of every document, as digests."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_langid": op4_langid,
+    "op5_near_copies": op5_near_copies,
     "op6_bpe": op6_bpe,
 }
 
