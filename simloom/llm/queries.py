@@ -8,16 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import bpe, decontaminate, langid, nearcopies, repeats, toxicity
+from simloom.functions.workspace import new_path
+from simloom.llm import bpe, decontaminate, htmltext, langid, nearcopies, neighbours, repeats, tokenfiles, toxicity, warc
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: An id that the rank file leaves free.
+SEPARATOR = 50256
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by cosine of each vector whose id is divisible by 50."""
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labels.
 
@@ -64,17 +72,50 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives, equal payloads as revisits, and read back."""
+    return warc.archive_report(_read(spark, sf_dir, "pages"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to flat token files, and their tokens counted by separator scan."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select("doc_id", "ids")
+    path = new_path(spark, "tokens")
+    written = tokenfiles.write_token_files(encoded, path, SEPARATOR)
+    lengths = tokenfiles.document_lengths(tokenfiles.block_summaries(spark, path, SEPARATOR, files=written.select("file").distinct()))
+    return lengths.join(written, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "html")
+    return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_toxicity": op2_toxicity,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_langid": op4_langid,
     "op5_near_copies": op5_near_copies,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
+    "op10_html": op10_html,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        t AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN top <> page_id THEN top END AS refers_to
+        FROM p LEFT JOIN t USING (d)
+    """,
     "op7_decontaminate": """
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
