@@ -1,10 +1,835 @@
-"""All queries by name, and their DuckDB SQL."""
+"""All queries by name, and their DuckDB SQL.
+
+Each query is (name, function of session and folder, SQL or None). Floats are
+rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from simloom.functions import text as X
+from simloom.functions import vectors as V
+from simloom.operators import classes, evaluation, featuremaps, graph, keypoints, matching, mining, pairs, region, search
+from simloom.operators.components import connected_components
+from simloom.plans import fixtures as T
+from simloom.sources import index, locations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    """Rounded to six places, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0
+
+
+# --- parts of the SQL ------------------------------------------------------------------------------------------
+
+_E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+_N = f"{_E}, n AS (SELECT vec_id, v, label, sqrt(list_dot_product(v, v)) AS l FROM e)"
+_LINKS = f"""{_N}, links AS (
+    SELECT img1, img2, CASE WHEN dist < 0.58 THEN 'DUPLICATE' ELSE 'POSITIVE' END AS type, dist
+    FROM (SELECT a.vec_id AS img1, b.vec_id AS img2, 1 - list_dot_product(a.v, b.v) / (a.l * b.l) AS dist FROM n a JOIN n b ON a.vec_id < b.vec_id)
+    WHERE dist < 0.62)"""
+_BOTH = f"{_LINKS}, nb AS (SELECT img1 AS uid, img2 AS other, type FROM links UNION SELECT img2, img1, type FROM links)"
+_CLOSURE = f"""{_BOTH}, nodes AS (SELECT DISTINCT uid FROM nb),
+    reach AS (SELECT uid, uid AS other FROM nodes UNION SELECT r.uid, d.other FROM reach r JOIN nb d ON d.uid = r.other AND d.type = 'DUPLICATE'),
+    closure AS (SELECT uid, min(other) AS component FROM reach GROUP BY uid),
+    targets AS (SELECT uid AS query_id, other AS uid FROM nb WHERE type = 'POSITIVE'),
+    around AS (SELECT query_id, query_id AS other FROM targets UNION SELECT query_id, uid FROM targets),
+    own AS (SELECT DISTINCT a.query_id AS uid, m.uid AS member FROM around a JOIN closure c ON c.uid = a.other JOIN closure m USING (component)),
+    ign AS (SELECT uid, member FROM own UNION
+            SELECT t.query_id, o.member FROM (SELECT DISTINCT query_id FROM targets) t JOIN closure c ON c.uid = t.query_id JOIN closure m USING (component) JOIN own o ON o.uid = m.uid),
+    ignored AS (SELECT i.uid AS query_id, i.member AS uid FROM ign i WHERE NOT EXISTS (SELECT 1 FROM targets t WHERE t.query_id = i.uid AND t.uid = i.member))"""
+_RESULTS = f"""{_CLOSURE}, res AS (
+    SELECT * FROM (SELECT q.query_id, x.vec_id AS uid, list_dot_product(x.v, p.v) AS score,
+                          row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(x.v, p.v) DESC, x.vec_id) AS rank
+                   FROM (SELECT DISTINCT query_id FROM targets) q JOIN n p ON p.vec_id = q.query_id CROSS JOIN n x) WHERE rank <= 400)"""
+_JUDGED = f"""{_RESULTS}, judged AS (
+    SELECT query_id, uid, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position,
+           CASE WHEN EXISTS (SELECT 1 FROM targets t WHERE t.query_id = r.query_id AND t.uid = r.uid) THEN 1 ELSE 0 END AS hit
+    FROM res r WHERE NOT EXISTS (SELECT 1 FROM ignored i WHERE i.query_id = r.query_id AND i.uid = r.uid)),
+    sizes AS (SELECT query_id, count(*) AS n_targets FROM targets GROUP BY query_id)"""
+_CELLS = """cells AS (SELECT vec_id AS uid, (i // 16)::INT AS y, ((i // 4) % 4)::INT AS x, (i % 4)::INT AS ch, greatest(CAST(embedding[i + 1] AS DOUBLE), 0.0) AS value
+    FROM embeddings, range(64) t(i))"""
+
+
+def _with(ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive or 'reach' in ctes else ''}{ctes} {select}"
+
+
+# --- search ----------------------------------------------------------------------------------------------------
+
+
+def _ranked_sql(score: str, extra: str = "", where: str = "") -> str:
+    return _with(
+        f"{_E}{extra}, s AS (SELECT vec_id, {score} AS score FROM e {where})",
+        "SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id AS uid, round(score, 6) + 0.0 AS score FROM s ORDER BY score DESC, vec_id LIMIT 100",
+    )
+
+
+def _v(i: int) -> str:
+    return f"(SELECT v FROM e WHERE vec_id = {i})"
+
+
+_D2 = "d2 AS (SELECT x.vec_id, p.vec_id AS p, list_sum(list_transform(range(1, 65), lambda k: (x.v[k] - p.v[k]) * (x.v[k] - p.v[k]))) AS d FROM e x JOIN e p ON p.vec_id IN (1, 2))"
+
+
+def _d2(i: int) -> str:
+    return f"(SELECT d FROM d2 WHERE d2.vec_id = e.vec_id AND d2.p = {i})"
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("rank", "uid", r6("score").alias("score"))
+
+
+@query(_ranked_sql(f"list_dot_product(v, {_v(0)})"))
+def search_single(spark, sf):
+    """The 100 vectors of highest scalar product with vector 0."""
+    return _rounded(search.search(T.vectors(spark, sf), [0]))
+
+
+ALLOW = [3, 5, 8, 13, 21, 34, 55, 89, 89, 144, 233, -1]
+
+
+@query(_ranked_sql(f"list_dot_product(v, {_v(0)})", where=f"WHERE vec_id IN ({', '.join(map(str, ALLOW))})"))
+def search_allowlist(spark, sf):
+    """The same among a few allowed ids, some unknown or repeated."""
+    return _rounded(search.search(T.vectors(spark, sf), [0], allow=ALLOW))
+
+
+@query(f"SELECT 'all' AS kind, count(*) AS total FROM embeddings UNION ALL SELECT 'allowed', {len(ALLOW)}")
+def search_total(spark, sf):
+    """The totals that results report: the index, and an allow-list as given."""
+    rows = T.vectors(spark, sf)
+    given = spark.range(1).select(F.lit("allowed").alias("kind"), F.lit(search.total(rows, ALLOW)).cast("long").alias("total"))
+    return rows.agg(F.lit("all").alias("kind"), F.count("*").alias("total")).unionByName(given)
+
+
+@query(_ranked_sql(f"exp(-2 * {_d2(1)}) - exp(-2 * {_d2(2)})", f", {_D2}"))
+def search_one_pos_one_neg(spark, sf):
+    """One positive and one negative example."""
+    return _rounded(search.search(T.vectors(spark, sf), [1], [2]))
+
+
+@query(_ranked_sql(f"0.5 * (exp(-{_d2(1)}) + exp(-{_d2(2)})) - 0.5 * (1 + exp(-(SELECT d FROM d2 WHERE vec_id = 1 AND p = 2)))", f", {_D2}"))
+def search_two_pos(spark, sf):
+    """Two positive examples."""
+    return _rounded(search.search(T.vectors(spark, sf), [1, 2]))
+
+
+@query()
+def search_multi_pos_neg(spark, sf):
+    """Several positive and negative examples; an iterative solution, tested by its optimality conditions."""
+    return _rounded(search.search(T.vectors(spark, sf), [1, 2, 3], [10, 11]))
+
+
+@query(_with(_N, f"""SELECT row_number() OVER (ORDER BY s DESC, vec_id) AS rank, vec_id AS uid, round(s, 6) + 0.0 AS score FROM
+    (SELECT vec_id, -(1 - list_dot_product(v, {_v(7)}) / (l * (SELECT l FROM n WHERE vec_id = 7))) AS s FROM n) ORDER BY s DESC, vec_id LIMIT 50"""))
+def search_one_by_distance(spark, sf):
+    """One example by cosine distance."""
+    return _rounded(search.search_one(T.vectors(spark, sf), 7, 50, by_distance=True))
+
+
+@query(_with(_RESULTS, "SELECT query_id, CAST(rank AS INT) AS rank, uid, round(score, 6) + 0.0 AS score FROM res WHERE rank <= 20"))
+def search_many(spark, sf):
+    """The 20 best rows for every node with a positive link."""
+    return T.results(spark, sf, T.links(spark, sf), 20).withColumn("score", r6("score"))
+
+
+# --- pairs and clusters ------------------------------------------------------------------------------------------
+
+_KNN = f"{_N}, knn AS (SELECT * FROM (SELECT a.vec_id AS i, b.vec_id AS j, 1 - list_dot_product(a.v, b.v) / (a.l * b.l) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(a.v, b.v) / (a.l * b.l), b.vec_id) AS rank FROM n a CROSS JOIN n b) WHERE rank <= 100)"
+
+
+@query(_with(_KNN, "SELECT i, j, round(dist, 6) + 0.0 AS dist, CAST(rank AS INT) AS rank FROM knn"))
+def knn_join(spark, sf):
+    """The 100 nearest rows of each row."""
+    return pairs.knn_join(T.vectors(spark, sf)).withColumn("dist", r6("dist"))
+
+
+@query(_with(_KNN, "SELECT i, j, round(dist, 6) + 0.0 AS dist FROM knn WHERE dist > -1 AND dist < 0.62 AND j > i"))
+def find_duplicates(spark, sf):
+    """Pairs in a distance band among each other's 100 nearest."""
+    return pairs.find_duplicates(T.vectors(spark, sf), 0.62).withColumn("dist", r6("dist"))
+
+
+@query()
+def lsh_pairs(spark, sf):
+    """The approximate form of find_duplicates."""
+    return pairs.lsh_pairs(T.vectors(spark, sf), 0.62).withColumn("dist", r6("dist"))
+
+
+MATRIX = [1, 2, 3, -5, 1, -6]
+
+
+@query(_with(_E, f"""SELECT a.i, b.j, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN round_even(list_distance(a.v, b.v), 3)
+    WHEN a.v IS NULL AND b.v IS NULL THEN 0.01 ELSE 10.0 END AS dist
+    FROM (SELECT i, v FROM (SELECT unnest({MATRIX}) AS u, unnest(range({len(MATRIX)}))::INT AS i) LEFT JOIN e ON vec_id = u) a
+    CROSS JOIN (SELECT i AS j, v FROM (SELECT unnest({MATRIX}) AS u, unnest(range({len(MATRIX)}))::INT AS i) LEFT JOIN e ON vec_id = u) b"""))
+def distance_matrix(spark, sf):
+    """Distances of a list of ids with unknown and repeated ones."""
+    return pairs.distance_matrix(T.vectors(spark, sf), MATRIX)
+
+
+@query(_with(f"""{_N}, near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE 1 - list_dot_product(a.v, b.v) / (a.l * b.l) <= 0.65),
+    bt AS (SELECT i AS uid, j AS other FROM near UNION ALL SELECT j, i FROM near),
+    core AS (SELECT uid FROM bt GROUP BY uid HAVING count(*) + 1 >= 3),
+    cc AS (SELECT b.uid, b.other FROM bt b JOIN core USING (uid) JOIN core o ON o.uid = b.other),
+    reach AS (SELECT uid, uid AS other FROM core UNION SELECT r.uid, c.other FROM reach r JOIN cc c ON c.uid = r.other),
+    root AS (SELECT uid, min(other) AS root FROM reach GROUP BY uid),
+    num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM root)),
+    cl AS (SELECT uid, cluster FROM root JOIN num USING (root))""",
+    "SELECT uid, CAST(cluster AS INT) AS cluster FROM cl UNION ALL SELECT b.uid, CAST(min(c.cluster) AS INT) FROM bt b JOIN cl c ON c.uid = b.other WHERE b.uid NOT IN (SELECT uid FROM core) GROUP BY b.uid"))
+def find_clusters(spark, sf):
+    """Density clusters within cosine distance 0.65 of at least 3 rows."""
+    rows = T.vectors(spark, sf)
+    near = T.materialize(pairs.within(rows, 0.65 + 1e-12), "near")
+    return graph.dbscan(near, rows)
+
+
+# --- graph -------------------------------------------------------------------------------------------------------
+
+_ANY = f"{_BOTH}, nodes AS (SELECT DISTINCT uid FROM nb), reach AS (SELECT uid, uid AS other FROM nodes UNION SELECT r.uid, d.other FROM reach r JOIN nb d ON d.uid = r.other), comp AS (SELECT uid, min(other) AS component FROM reach GROUP BY uid)"
+
+
+@query(_with(_ANY, "SELECT uid, component FROM comp"))
+def components(spark, sf):
+    """Connected components of all links."""
+    return connected_components(T.links(spark, sf), "img1", "img2").withColumnRenamed("node", "uid")
+
+
+@query(_with(_ANY, "SELECT component, count(*) AS members FROM comp GROUP BY component"))
+def component_stats(spark, sf):
+    """Sizes of the components."""
+    return graph.component_statistics(T.links(spark, sf))
+
+
+@query(_with(_CLOSURE, "SELECT uid, component FROM closure"))
+def physical_closure(spark, sf):
+    """Components over duplicate links."""
+    return graph.physical_closure(T.links(spark, sf))
+
+
+@query(_with(_CLOSURE, "SELECT uid, member FROM ign"))
+def ignore_closure(spark, sf):
+    """What a search for a node ignores."""
+    return graph.ignore_closure(T.links(spark, sf))
+
+
+@query(_with(_CLOSURE, "SELECT query_id, uid FROM targets"))
+def benchmark_targets(spark, sf):
+    """Targets of the benchmark queries."""
+    return graph.benchmark_targets(T.links(spark, sf))
+
+
+@query(_with(_CLOSURE, "SELECT query_id, uid FROM ignored"))
+def benchmark_ignored(spark, sf):
+    """What the benchmark queries ignore."""
+    return graph.benchmark_ignored(T.links(spark, sf))
+
+
+_UNIFORM = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(_with(_ANY, f"SELECT uid, component, CASE WHEN {_UNIFORM.format("concat_ws('_', component, 'split')")} < 0.5 THEN 'A' ELSE 'B' END AS side FROM comp"))
+def split_components(spark, sf):
+    """Whole components drawn to two sides."""
+    return graph.split_components(T.links(spark, sf), 0.5)
+
+
+@query(_with(_ANY, "SELECT img1, img2, type FROM links JOIN comp ON comp.uid = img1 WHERE component IN (SELECT component FROM links JOIN comp ON comp.uid = img1 WHERE type = 'POSITIVE')"))
+def positive_components(spark, sf):
+    """Links of components that hold a positive one."""
+    return graph.with_positive(T.links(spark, sf))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS o, o_custkey % 50 AS a, o_orderkey % 47 AS b, CASE o_orderkey % 3 WHEN 0 THEN 'POSITIVE' WHEN 1 THEN 'NEGATIVE' ELSE 'DUPLICATE' END AS type FROM orders)
+    SELECT img1, img2, type FROM (SELECT least(a, b) AS img1, greatest(a, b) AS img2, type, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY o DESC, type DESC) AS r FROM l) WHERE r = 1""")
+def build_graph(spark, sf):
+    """Parallel links collapse to the last one; the links are drawn from orders."""
+    kind = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'POSITIVE' WHEN 1 THEN 'NEGATIVE' ELSE 'DUPLICATE' END")
+    rows = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("o"), (F.col("o_custkey") % 50).alias("img1"), (F.col("o_orderkey") % 47).alias("img2"), kind.alias("type"))
+    return graph.build_graph(rows, "o")
+
+
+@query(_with(_ANY, """, a AS (SELECT DISTINCT component, label AS author FROM comp JOIN embeddings ON vec_id = uid)
+    SELECT x.author AS id1, y.author AS id2, count(*) AS count FROM a x JOIN a y USING (component) WHERE x.author < y.author GROUP BY 1, 2""").replace(" , a AS", ", a AS"))
+def attribution_conflicts(spark, sf):
+    """How often two labels meet in a component."""
+    parts = connected_components(T.links(spark, sf), "img1", "img2").withColumnRenamed("node", "uid")
+    return graph.attribution_conflicts(parts.join(T.items(spark, sf), "uid").select("component", F.col("class_id").alias("author")))
+
+
+# --- evaluation --------------------------------------------------------------------------------------------------
+
+
+def _truth(spark, sf):
+    links = T.links(spark, sf)
+    return T.results(spark, sf, links), graph.benchmark_targets(links), graph.benchmark_ignored(links)
+
+
+_AP = f"""{_JUDGED}, pr AS (SELECT query_id, position, hit, sum(hit) OVER (PARTITION BY query_id ORDER BY position) / position AS p FROM judged),
+    st AS (SELECT query_id, hit, p, lag(p, 1, 1.0) OVER (PARTITION BY query_id ORDER BY position) AS before FROM pr),
+    aps AS (SELECT s.query_id, coalesce(sum(CASE WHEN hit = 1 THEN (before + p) / 2 ELSE 0.0 END), 0.0) / any_value(n_targets) AS ap FROM sizes s LEFT JOIN st USING (query_id) GROUP BY s.query_id)"""
+
+
+@query(_with(_AP, "SELECT query_id, round(ap, 6) + 0.0 AS ap FROM aps"))
+def eval_ap(spark, sf):
+    """Average precision of each query."""
+    return evaluation.average_precision(*_truth(spark, sf)).withColumn("ap", r6("ap"))
+
+
+@query(_with(_AP, "SELECT round(avg(ap), 6) + 0.0 AS mean_ap FROM aps"))
+def eval_mean_ap(spark, sf):
+    """Mean average precision."""
+    return evaluation.mean_average_precision(*_truth(spark, sf)).withColumn("mean_ap", r6("mean_ap"))
+
+
+@query(_with(_JUDGED, """SELECT s.query_id, round(CASE WHEN count(uid) = 0 THEN 1.0 ELSE sum(hit) / count(uid) END, 6) + 0.0 AS precision, round(coalesce(sum(hit), 0) / any_value(n_targets), 6) + 0.0 AS recall
+    FROM sizes s LEFT JOIN judged USING (query_id) GROUP BY s.query_id"""))
+def eval_final_pr(spark, sf):
+    """Precision and recall at the end of each list."""
+    return evaluation.final_precision_recall(*_truth(spark, sf)).select("query_id", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query(_with(_JUDGED, """, t AS (SELECT unnest([0.2, 0.3, 0.4])::DOUBLE AS threshold),
+    q AS (SELECT s.query_id, t.threshold, any_value(n_targets) AS n_targets, count(uid) AS n, coalesce(sum(hit), 0) AS hits FROM sizes s CROSS JOIN t LEFT JOIN judged j ON j.query_id = s.query_id AND j.score > t.threshold GROUP BY 1, 2)
+    SELECT threshold, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE hits / n END), 6) + 0.0 AS precision, round(avg(hits / n_targets), 6) + 0.0 AS recall FROM q GROUP BY threshold""").replace(" , t AS", ", t AS"))
+def eval_pr_thresholds(spark, sf):
+    """Mean precision and recall of lists cut at score thresholds."""
+    out = evaluation.precision_recall_at(*_truth(spark, sf), [0.2, 0.3, 0.4])
+    return out.select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query(_with(_JUDGED, """, w AS (SELECT query_id, 1.0 + query_id % 3 AS weight FROM sizes),
+    f AS (SELECT r.query_id, count(*) AS hits FROM res r JOIN targets t ON t.query_id = r.query_id AND t.uid = r.uid WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM ignored i WHERE i.query_id = r.query_id AND i.uid = r.uid) GROUP BY 1)
+    SELECT 20::INT AS n, round(sum(coalesce(hits, 0) / n_targets * weight) / sum(weight), 6) + 0.0 AS recall FROM sizes LEFT JOIN f USING (query_id) JOIN w USING (query_id)""").replace(" , w AS", ", w AS"))
+def eval_recall_at_n(spark, sf):
+    """Weighted recall of the first 20 results."""
+    results, targets, ignored = _truth(spark, sf)
+    weights = targets.select("query_id").distinct().withColumn("weight", 1.0 + F.col("query_id") % 3)
+    return evaluation.recall_at(results, targets, ignored, 20, weights).withColumn("recall", r6("recall"))
+
+
+@query(_with(_JUDGED, "SELECT t.query_id, t.uid, CAST(j.position AS INT) AS position FROM targets t LEFT JOIN judged j ON j.query_id = t.query_id AND j.uid = t.uid"))
+def target_positions(spark, sf):
+    """Where each target was found."""
+    return evaluation.target_positions(*_truth(spark, sf))
+
+
+_CURVE = f"""{_N}, sc AS (SELECT round(list_dot_product(a.v, b.v), 2) AS score, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS label FROM n a JOIN n b ON a.vec_id < b.vec_id),
+    g AS (SELECT score, sum(label) AS p, count(*) AS c FROM sc GROUP BY score),
+    cv AS (SELECT score, sum(p) OVER w AS tp, sum(c) OVER w AS seen, (SELECT sum(p) FROM g) AS every FROM g WINDOW w AS (ORDER BY score DESC))"""
+
+
+def _scored_pairs(spark, sf) -> DataFrame:
+    rows = T.labelled(spark, sf)
+    near = pairs.within(rows.select("uid", "features"), 3.0)
+    one, two = rows.select(F.col("uid").alias("i"), F.col("class_id").alias("x"), F.col("features").alias("u")), rows.select(F.col("uid").alias("j"), F.col("class_id").alias("y"), F.col("features").alias("v"))
+    both = near.join(one, "i").join(two, "j")
+    return both.select((F.round(V.dot(F.col("u"), F.col("v")), 2) + 0.0).alias("score"), (F.col("x") == F.col("y")).cast("int").alias("label"))
+
+
+@query(_with(_CURVE, "SELECT score + 0.0 AS score, CAST(tp AS BIGINT) AS tp, CAST(seen - tp AS BIGINT) AS fp, round(tp / seen, 6) AS precision, round(tp / every, 6) AS recall FROM cv"))
+def pr_curve(spark, sf):
+    """Precision-recall curve of pair scores against equal labels."""
+    return evaluation.precision_recall_curve(_scored_pairs(spark, sf)).withColumn("precision", r6("precision")).withColumn("recall", r6("recall"))
+
+
+@query(_with(_CURVE, """, w AS (SELECT unnest([0.05, 0.1, 0.12])::DOUBLE AS target)
+    SELECT target, arg_min(score, score) + 0.0 AS threshold, round(arg_min(tp / every, score), 6) AS recall, CAST(arg_min(seen - tp, score) AS BIGINT) AS fp FROM cv JOIN w ON tp / seen >= target GROUP BY target""").replace(" , w AS", ", w AS"))
+def threshold_at_precision(spark, sf):
+    """The lowest score that reaches each precision."""
+    curve = evaluation.precision_recall_curve(_scored_pairs(spark, sf))
+    return evaluation.threshold_at(curve, [0.05, 0.1, 0.12]).withColumn("recall", r6("recall"))
+
+
+_CLASS = f"""{_N}, k AS (SELECT label AS class_id, i, avg(v[i]) AS c FROM n, range(1, 65) t(i) GROUP BY 1, 2), m AS (SELECT class_id, list(c ORDER BY i) AS c FROM k GROUP BY 1),
+    s AS (SELECT vec_id AS uid, label, class_id, round(list_dot_product(v, c), 9) AS score FROM n CROSS JOIN m)"""
+
+
+def _class_scores(spark, sf) -> DataFrame:
+    rows = T.labelled(spark, sf)
+    each = rows.select("class_id", F.posexplode(V.doubles(F.col("features"))).alias("k", "x")).groupBy("class_id", "k").agg(F.avg("x").alias("v"))
+    means = each.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("mean"))
+    return rows.withColumnRenamed("class_id", "label").join(F.broadcast(means), F.lit(True)).select("uid", "label", "class_id", F.round(V.dot(F.col("features"), F.col("mean")), 9).alias("score"))
+
+
+@query(_with(_CLASS, """, r AS (SELECT uid, label, class_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, class_id) AS r FROM s),
+    t AS (SELECT unnest([1, 3, 5])::INT AS k) SELECT k, round(avg(CASE WHEN r <= k THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r CROSS JOIN t WHERE label = class_id GROUP BY k""").replace(" , r AS", ", r AS"))
+def top_k_accuracy(spark, sf):
+    """How often the own class mean is among the k best."""
+    return evaluation.top_k_accuracy(_class_scores(spark, sf), [1, 3, 5]).withColumn("accuracy", r6("accuracy"))
+
+
+@query(_with(_CLASS, """, r AS (SELECT uid, label, class_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, class_id) AS r FROM s)
+    SELECT label, round(avg(CASE WHEN class_id = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r WHERE r = 1 GROUP BY label""").replace(" , r AS", ", r AS"))
+def per_class_accuracy(spark, sf):
+    """Accuracy of each class."""
+    return evaluation.class_accuracy(_class_scores(spark, sf)).withColumn("accuracy", r6("accuracy"))
+
+
+@query("SELECT CAST(o_custkey % 7 AS INT) AS epoch, round(avg(o_totalprice), 2) AS mean_ap, 'run' || CAST(o_custkey % 7 AS INT) AS path FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def best_epoch(spark, sf):
+    """The epoch of greatest mean; the runs are drawn from orders."""
+    epoch = (F.col("o_custkey") % 7).cast("int")
+    runs = T.table(spark, sf, "orders").groupBy(epoch.alias("epoch")).agg(F.round(F.avg("o_totalprice"), 2).alias("mean_ap"))
+    return evaluation.best_epoch(runs.withColumn("path", F.concat(F.lit("run"), F.col("epoch").cast("string"))))
+
+
+@query(_with(_KNN, """, a AS (SELECT i, j FROM knn WHERE dist < 0.6 AND j > i), b AS (SELECT i, j FROM knn WHERE dist < 0.62 AND j > i AND rank <= 3)
+    SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.i = a.i AND b.j = a.j) THEN 1.0 ELSE 0.0 END), 6) AS share FROM a""").replace(" , a AS", ", a AS"))
+def estimated_recall(spark, sf):
+    """Share of true pairs among the candidates."""
+    near = T.materialize(pairs.knn_join(T.vectors(spark, sf)).where("j > i and dist < 0.62").withColumn("key", F.concat_ws("_", "i", "j")), "knn")
+    return evaluation.proportion(near.where("dist < 0.6").select("key"), near.where("rank <= 3").select("key"), "key").withColumn("share", r6("share"))
+
+
+# --- mining ------------------------------------------------------------------------------------------------------
+
+
+@query(_with(_LINKS, f"SELECT img1 AS a, img2 AS b, 1.0::DOUBLE AS label FROM links WHERE type = 'POSITIVE' AND {_UNIFORM.format("concat_ws('_', img1, img2, 'p')")} < 0.5"))
+def positive_pairs(spark, sf):
+    """Half of the positive links."""
+    return mining.positive_pairs(T.links(spark, sf), 0.5, "p")
+
+
+@query("SELECT vec_id AS a, vec_id AS b, 1.0::DOUBLE AS label FROM embeddings ORDER BY md5(concat_ws('_', vec_id, 's')), vec_id LIMIT 50")
+def self_pairs(spark, sf):
+    """Rows paired with themselves."""
+    return mining.self_pairs(T.vectors(spark, sf), 50, "s")
+
+
+@query(_with(_LINKS, """, x AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws('_', vec_id, 'ra')), vec_id) AS r FROM embeddings), y AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws('_', vec_id, 'rb')), vec_id) AS r FROM embeddings)
+    SELECT DISTINCT least(x.vec_id, y.vec_id) AS a, greatest(x.vec_id, y.vec_id) AS b, 0.0::DOUBLE AS label FROM x JOIN y USING (r) WHERE r <= 200 AND x.vec_id <> y.vec_id
+    AND NOT EXISTS (SELECT 1 FROM links WHERE img1 = least(x.vec_id, y.vec_id) AND img2 = greatest(x.vec_id, y.vec_id))""").replace(" , x AS", ", x AS"))
+def random_negatives(spark, sf):
+    """Drawn pairs that are not linked."""
+    return mining.random_negatives(T.vectors(spark, sf), T.links(spark, sf), 200, "r")
+
+
+_QUOTA = "quota AS (SELECT uid, 300 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY uid) - 1 < 300 % count(*) OVER () THEN 1 ELSE 0 END AS quota FROM nodes)"
+
+
+@query(_with(f"{_ANY}, {_QUOTA}", "SELECT uid, CAST(quota AS INT) AS quota FROM quota"))
+def quota_split(spark, sf):
+    """300 examples split over the nodes."""
+    return mining.quotas(graph.nodes(T.links(spark, sf)), "uid", 300)
+
+
+_ALLRES = "allres AS (SELECT q.uid AS query_id, x.vec_id AS uid, row_number() OVER (PARTITION BY q.uid ORDER BY list_dot_product(x.v, p.v) DESC, x.vec_id) AS rank FROM nodes q JOIN n p ON p.vec_id = q.uid CROSS JOIN n x)"
+
+
+def _all_results(spark, sf, links, depth=T.DEPTH):
+    rows = T.vectors(spark, sf)
+    asked = graph.nodes(links)
+    return T.materialize(search.search_many(rows, rows.join(asked, "uid").select(F.col("uid").alias("query_id"), "features"), depth), "all-results")
+
+
+@query(_with(f"""{_ANY}, {_QUOTA}, {_ALLRES}, ob AS (SELECT uid, uid AS other FROM nodes UNION SELECT uid, other FROM nb),
+    ban AS (SELECT uid, other FROM ob UNION SELECT o.uid, d.other FROM ob o JOIN nb d ON d.uid = o.other AND d.type = 'DUPLICATE'),
+    rch AS (SELECT uid, (count(*) + 10) * 3 AS reach FROM ban GROUP BY uid),
+    fair AS (SELECT query_id AS uid, a.uid AS other FROM allres a JOIN rch ON rch.uid = query_id WHERE rank <= 400 AND rank <= reach AND NOT EXISTS (SELECT 1 FROM ban b WHERE b.uid = query_id AND b.other = a.uid)),
+    o AS (SELECT uid, other, row_number() OVER (PARTITION BY uid ORDER BY md5(concat_ws('_', uid, other, 'h')), other) AS r FROM fair)""",
+    "SELECT o.uid AS a, other AS b, 0.0::DOUBLE AS label FROM o JOIN quota USING (uid) WHERE r <= quota"))
+def hard_negatives(spark, sf):
+    """Drawn search results that are not forbidden."""
+    links = T.links(spark, sf)
+    return mining.hard_negatives(links, _all_results(spark, sf, links), 300, "h")
+
+
+@query(_with(f"""{_RESULTS}, own_ AS (SELECT t.query_id, t.uid AS pos, coalesce(r.score, 0.0) AS own FROM targets t LEFT JOIN res r ON r.query_id = t.query_id AND r.uid = t.uid),
+    bar AS (SELECT uid AS query_id, member AS uid FROM ign UNION SELECT query_id, uid FROM targets),
+    hd AS (SELECT o.query_id, o.pos, r.uid AS neg, row_number() OVER (PARTITION BY o.query_id, o.pos ORDER BY md5(concat_ws('_', o.query_id, o.pos, r.uid, 't')), r.uid) AS r FROM own_ o JOIN res r ON r.query_id = o.query_id
+           WHERE r.score > o.own - 0.2 AND NOT EXISTS (SELECT 1 FROM bar b WHERE b.query_id = r.query_id AND b.uid = r.uid))""",
+    "SELECT query_id, pos, neg FROM hd WHERE r <= 5"))
+def triplet_candidates(spark, sf):
+    """Triplets of a query, a target and a harder negative."""
+    links = T.links(spark, sf)
+    return mining.triplets(links, T.results(spark, sf, links), 5, 0.1, "t")
+
+
+@query(_with(_RESULTS, "SELECT DISTINCT least(query_id, uid) AS a, greatest(query_id, uid) AS b FROM res WHERE rank <= 21 AND query_id <> uid"))
+def candidate_pairs(spark, sf):
+    """Pairs of nodes and their first 20 results."""
+    links = T.links(spark, sf)
+    return mining.candidate_pairs(links, T.results(spark, sf, links))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 2)
+    SELECT a, b FROM p WHERE len(list_filter(range(1, 65), lambda k: NOT (abs(x[k]::DOUBLE - y[k]::DOUBLE) <= 1e-8 + 1e-5 * abs(y[k]::DOUBLE)))) > 0""")
+def near_identical_filter(spark, sf):
+    """Pairs without those of equal vectors."""
+    rows = T.vectors(spark, sf)
+    return mining.without_near_identical(rows.select(F.col("uid").alias("a"), (F.col("uid") - F.col("uid") % 2).alias("b")), rows)
+
+
+# --- feature maps ------------------------------------------------------------------------------------------------
+
+for _how, _sql in {"max": "max(value)", "sum": "sum(value)", "avg": "avg(value)", "gmean": "pow(avg(pow(value, 3.0)), 1.0 / 3.0)"}.items():
+    query(f"WITH {_CELLS} SELECT uid, ch, round({_sql}, 6) + 0.0 AS value FROM cells GROUP BY uid, ch", f"pool_{_how}")(lambda spark, sf, how=_how: featuremaps.pooled(T.maps(spark, sf), how).withColumn("value", r6("value")))
+
+
+@query(f"WITH {_CELLS}, m AS (SELECT uid, ch, max(value) AS value FROM cells GROUP BY uid, ch) SELECT uid, ch, round(value / sqrt(sum(value * value) OVER (PARTITION BY uid)), 6) + 0.0 AS value FROM m")
+def pool_unit(spark, sf):
+    """Maximum of each channel, scaled to length 1."""
+    return featuremaps.pooled(T.maps(spark, sf), "unit").withColumn("value", r6("value"))
+
+
+_SUMS = f"{_CELLS}, sums AS (SELECT a.uid, a.y, a.x, a.ch, sum(b.value) AS total FROM cells a JOIN cells b ON b.uid = a.uid AND b.ch = a.ch AND b.y <= a.y AND b.x <= a.x GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"WITH {_SUMS} SELECT uid, y, x, ch, round(total, 6) + 0.0 AS total FROM sums")
+def integral_image(spark, sf):
+    """Two-dimensional prefix sums."""
+    return featuremaps.integral(T.maps(spark, sf)).withColumn("total", r6("total"))
+
+
+@query(f"WITH {_CELLS} SELECT uid, 1 AS y1, 0 AS x1, 3 AS y2, 4 AS x2, ch, round(sum(value), 6) + 0.0 AS total FROM cells WHERE y >= 1 AND y < 3 GROUP BY uid, ch")
+def rect_sum(spark, sf):
+    """Sums of a rectangle by four corners."""
+    sums = featuremaps.integral(T.maps(spark, sf))
+    boxes = T.vectors(spark, sf).select("uid", F.lit(1).alias("y1"), F.lit(0).alias("x1"), F.lit(3).alias("y2"), F.lit(4).alias("x2"))
+    return featuremaps.rectangle_sums(sums, boxes).select("uid", "y1", "x1", "y2", "x2", "ch", r6("total").alias("total"))
+
+
+_CODE = f"""{_CELLS}, f AS (SELECT uid, (y * 16 + x * 4 + ch) AS i, value FROM cells WHERE value <> 0),
+    b AS (SELECT uid, min(value) AS low, max(value) AS high FROM f GROUP BY uid)"""
+
+
+@query(f"""WITH {_CODE} SELECT c.uid, CAST(c.y * 16 + c.x * 4 + c.ch AS INT) AS place,
+    round(CASE WHEN c.value = 0 THEN 0.0 ELSE round_even((c.value - low) / CASE WHEN high = low THEN 1.0 ELSE high - low END * 255.0, 0) / 255.0 * CASE WHEN high = low THEN 1.0 ELSE high - low END + low END, 6) + 0.0 AS value
+    FROM cells c JOIN b USING (uid)""")
+def quantize_roundtrip(spark, sf):
+    """Maps encoded and decoded."""
+    back = featuremaps.decoded(featuremaps.encoded(T.maps(spark, sf)))
+    return back.select("uid", F.posexplode("data").alias("place", "value")).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {_CODE}, g AS (SELECT uid, i, i - lag(i, 1, 0) OVER (PARTITION BY uid ORDER BY i) AS gap FROM f)
+    SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY i) - 1 AS INT) AS k, CAST(gap AS INT) AS gap, CAST(CASE WHEN max(gap) OVER (PARTITION BY uid) <= 255 THEN 8 ELSE 16 END AS INT) AS width FROM g""")
+def sparse_delta(spark, sf):
+    """Gaps between the non-zero places."""
+    return featuremaps.encoded(T.maps(spark, sf)).select("uid", F.posexplode("gaps").alias("k", "gap"), "width")
+
+
+def _region_sql() -> str:
+    windows = "win AS (SELECT y1, x1, y2, x2, y1 + round_even((y2 - y1) / 2.0, 0)::INT AS ym, x1 + round_even((x2 - x1) / 2.0, 0)::INT AS xm FROM range(5) a(y2), range(5) b(x2), range(5) c(y1), range(5) d(x1) WHERE y2 - y1 >= 2 AND x2 - x1 >= 2 AND (y2 - y1) / (x2 - x1) / 1.0 > 0.8 AND (y2 - y1) / (x2 - x1) / 1.0 < 1.2)"
+    quads = """quad AS (SELECT uid, y1, x1, y2, x2, ch, sum(CASE WHEN y < ym AND x < xm THEN value ELSE 0 END) AS q0, sum(CASE WHEN y >= ym AND x < xm THEN value ELSE 0 END) AS q1,
+        sum(CASE WHEN y >= ym AND x >= xm THEN value ELSE 0 END) AS q2, sum(CASE WHEN y < ym AND x >= xm THEN value ELSE 0 END) AS q3
+        FROM cells JOIN win ON y >= y1 AND y < y2 AND x >= x1 AND x < x2 GROUP BY 1, 2, 3, 4, 5, 6)"""
+    parts = "part AS (SELECT uid, y1, x1, y2, x2, ch, k, q / sqrt(sum(q * q) OVER (PARTITION BY uid, y1, x1, y2, x2) + 0.01) AS q FROM (SELECT uid, y1, x1, y2, x2, ch, unnest(range(4)) AS k, unnest([q0, q1, q2, q3]) AS q FROM quad))"
+    return f"{_CELLS}, {windows}, {quads}, {parts}"
+
+
+@query(f"WITH {_region_sql()} SELECT uid, CAST(k * 4 + ch AS INT) AS place, round(q, 6) + 0.0 AS value FROM part WHERE y1 = 0 AND x1 = 1 AND y2 = 2 AND x2 = 3")
+def region_descriptor(spark, sf):
+    """Descriptors of one window of every map."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                d = region.describe(region.integral_image(region.np.array(r["data"], float).reshape(r["h"], r["w"], r["c"])), 0, 1, 2, 3)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([r["uid"]] * len(d), pa.int64()), pa.array(range(len(d)), pa.int32()), pa.array(d)], names=["uid", "place", "value"])
+
+    return T.maps(spark, sf).mapInArrow(run, "uid long, place int, value double").withColumn("value", r6("value"))
+
+
+@query(f"""WITH {_region_sql()}, {_E}, short AS (SELECT vec_id AS uid FROM e ORDER BY list_dot_product(v, {_v(0)}) DESC, vec_id LIMIT 200),
+    qd AS (SELECT ch, k, q FROM part WHERE uid = 0 AND y1 = 0 AND x1 = 0 AND y2 = 2 AND x2 = 2),
+    sc AS (SELECT p.uid, y1, x1, y2, x2, sum(p.q * qd.q) AS score FROM part p JOIN qd USING (ch, k) WHERE p.uid IN (SELECT uid FROM short) GROUP BY 1, 2, 3, 4, 5),
+    b AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY round(score, 12) DESC, y2, x2, y1, x1) AS r FROM sc)
+    SELECT CAST(row_number() OVER (ORDER BY score DESC, uid) AS INT) AS rank, uid, round(score, 6) + 0.0 AS score, y1 / 4 AS y, x1 / 4 AS x, (y2 - y1) / 4 AS h, (x2 - x1) / 4 AS w FROM b WHERE r = 1 ORDER BY score DESC, uid LIMIT 50""")
+def search_region(spark, sf):
+    """Maps with a window like the top left quarter of map 0."""
+    out = region.search_region(T.vectors(spark, sf), T.maps(spark, sf), 0, (0.0, 0.0, 0.5, 0.5), 50, 200)
+    return out.select("rank", "uid", r6("score").alias("score"), "y", "x", "h", "w")
+
+
+# --- matching ----------------------------------------------------------------------------------------------------
+
+_PAIRS = "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM embeddings WHERE vec_id < 100)"
+_DESC = """raw AS (SELECT vec_id AS uid, y, x, list_transform(range(1, 5), lambda k: CAST(embedding[16 * y + 4 * x + k] AS DOUBLE)) AS d FROM embeddings, range(1, 3) a(y), range(1, 3) b(x)),
+    dsc AS (SELECT uid, y + 0.5 AS y, x + 0.5 AS x, list_transform(d, lambda t: t / sqrt(list_dot_product(d, d))) AS d FROM raw),
+    cand AS (SELECT p.a, p.b, s.y AS y1, s.x AS x1, t.y AS y2, t.x AS x2, round(1 - list_dot_product(s.d, t.d), 9) AS dist FROM prs p JOIN dsc s ON s.uid = p.a JOIN dsc t ON t.uid = p.b),
+    mut AS (SELECT a, b, y1::DOUBLE AS y1, x1::DOUBLE AS x1, y2::DOUBLE AS y2, x2::DOUBLE AS x2 FROM (SELECT *, row_number() OVER (PARTITION BY a, b, y1, x1 ORDER BY dist, y2, x2) AS r, row_number() OVER (PARTITION BY a, b, y2, x2 ORDER BY dist, y1, x1) AS s FROM cand) WHERE r <= 3 AND s <= 3)"""
+_VOTES = f"""{_PAIRS}, {_DESC}, vt AS (SELECT *, exp(0.2 * (s - 7)) AS l FROM mut, range(14) g(s), range(2) f(flip)),
+    bx AS (SELECT a, b, s, flip, round_even(x2 + CASE WHEN flip = 1 THEN l ELSE -l END * x1 + 15, 0)::INT AS ix, round_even(y2 - l * y1 + 15, 0)::INT AS iy FROM vt),
+    votes AS (SELECT a, b, CAST(((ix * 30 + iy) * 14 + s) * 2 + flip AS INT) AS bin, count(*) AS votes FROM bx WHERE ix BETWEEN 0 AND 29 AND iy BETWEEN 0 AND 29 GROUP BY 1, 2, 3)"""
+_MODELS = f"""{_VOTES}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, bin DESC) AS r FROM votes) WHERE r <= 5),
+    mdl AS (SELECT a, b, r, bin % 2 AS flip, exp(0.2 * (bin // 2 % 14 - 7)) AS l, bin // 28 % 30 - 15 AS y0, bin // 840 - 15 AS x0 FROM top),
+    agr AS (SELECT m.a, m.b, m.r, count(*) AS n FROM mdl m JOIN mut u ON u.a = m.a AND u.b = m.b
+            WHERE pow(CASE WHEN flip = 1 THEN -l ELSE l END * x1 + x0 - x2, 2) + pow(l * y1 + y0 - y2, 2) <= 2.0 GROUP BY 1, 2, 3),
+    won AS (SELECT p.a, p.b, coalesce(max(n), 0) AS n_matches FROM prs p LEFT JOIN agr USING (a, b) GROUP BY 1, 2)"""
+
+
+def _map_pairs(spark, sf) -> DataFrame:
+    return T.vectors(spark, sf).where("uid < 100").select(F.lit(0).cast("long").alias("a"), F.col("uid").alias("b"))
+
+
+@query(f"WITH {_PAIRS}, {_DESC} SELECT * FROM mut")
+def mutual_matches(spark, sf):
+    """Cells of map 0 and of others that are among each other's three nearest."""
+    return matching.mutual_matches(T.maps(spark, sf, False), _map_pairs(spark, sf))
+
+
+@query(f"WITH {_VOTES} SELECT * FROM votes")
+def hough_votes(spark, sf):
+    """Votes of these candidates."""
+    return matching.hough_votes(matching.mutual_matches(T.maps(spark, sf, False), _map_pairs(spark, sf)))
+
+
+@query(f"WITH {_MODELS} SELECT a, b, n_matches FROM won")
+def match_inliers(spark, sf):
+    """Inliers of the best model of each pair."""
+    return matching.matched(T.maps(spark, sf, False), _map_pairs(spark, sf)).select("a", "b", "n_matches")
+
+
+@query(f"""WITH {_E}, sh AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(v, {_v(0)}) DESC, vec_id) AS first FROM e),
+    {_MODELS.replace("prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM embeddings WHERE vec_id < 100)", "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM sh WHERE first <= 60)")}
+    SELECT CAST(row_number() OVER (ORDER BY n_matches DESC, first) AS INT) AS rank, b AS uid, CAST(n_matches AS DOUBLE) AS score FROM won JOIN sh ON vec_id = b ORDER BY n_matches DESC, first LIMIT 20""")
+def rerank(spark, sf):
+    """The 60 nearest rows of vector 0 in the order of their inliers."""
+    short = search.search(T.vectors(spark, sf), [0], k=60)
+    return matching.rerank(T.maps(spark, sf, False), 0, short, 20).select("rank", "uid", "score")
+
+
+# --- classes -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT label AS class_id, count(*) AS count FROM embeddings GROUP BY label")
+def class_counts(spark, sf):
+    """Rows of each class."""
+    return classes.counts(T.items(spark, sf))
+
+
+@query("SELECT class_id, round(avg(c) OVER () / c, 6) AS weight FROM (SELECT label AS class_id, count(*) AS c FROM embeddings GROUP BY label)")
+def class_weights(spark, sf):
+    """Mean size over the size of each class."""
+    return classes.weights(T.items(spark, sf)).withColumn("weight", r6("weight"))
+
+
+@query("""SELECT class_id, CAST(row_number() OVER (ORDER BY class_id) - 1 AS INT) AS new_id FROM (SELECT label AS class_id, count(*) AS c FROM embeddings WHERE label NOT IN (0) GROUP BY label ORDER BY c DESC, class_id DESC LIMIT 5)""")
+def topk_class_reindex(spark, sf):
+    """The five largest classes with new numbers."""
+    return classes.top_classes(T.items(spark, sf), 5, [0])
+
+
+@query("""SELECT class_id FROM (SELECT label AS class_id, vec_id % 3 AS s, count(*) AS c FROM embeddings GROUP BY 1, 2) WHERE c >= 15 AND class_id NOT IN (3) GROUP BY class_id HAVING count(*) = 3""")
+def class_intersection(spark, sf):
+    """Classes with at least 15 rows in every split."""
+    return classes.in_all_splits(T.items(spark, sf).withColumn("split", F.col("uid") % 3), 15, [3])
+
+
+@query(_with(f"""{_E}, sc AS (SELECT vec_id, label, v, list_dot_product(v, {_v(0)}) AS s FROM e), w AS (SELECT label, v, exp(s - max(s) OVER (PARTITION BY label)) / sum(exp(s)) OVER (PARTITION BY label) * exp(max(s) OVER (PARTITION BY label)) AS w FROM sc)""",
+    "SELECT label AS class_id, CAST(k - 1 AS INT) AS k, round(sum(w * v[k]), 6) + 0.0 AS value FROM w, range(1, 65) t(k) GROUP BY 1, 2"))
+def softmax_attention(spark, sf):
+    """Attention of vector 0 over each class."""
+    rows = T.labelled(spark, sf)
+    example = F.array(*(F.lit(float(x)) for x in search.features_of(rows, [0])[0]))
+    return classes.class_attention(rows, example).select("class_id", F.posexplode("value").alias("k", "value")).withColumn("value", r6("value"))
+
+
+@query(_with(_E, "SELECT x.vec_id AS uid, arg_min(c.vec_id, [round(list_sum(list_transform(range(1, 65), lambda k: (x.v[k] - c.v[k]) * (x.v[k] - c.v[k]))), 9), c.vec_id]) AS word FROM e x JOIN e c ON c.vec_id < 8 GROUP BY x.vec_id"))
+def nearest_centroid(spark, sf):
+    """The nearest of the first eight vectors."""
+    rows = T.vectors(spark, sf)
+    return classes.nearest_centroid(rows, rows.where("uid < 8").select(F.col("uid").alias("word"), F.col("features").alias("centre")))
+
+
+@query()
+def kmeans_words(spark, sf):
+    """Words of a k-means dictionary."""
+    rows = T.vectors(spark, sf)
+    return classes.assign_words(rows, classes.visual_words(rows, 8)).select("uid", "word")
+
+
+def _duplicate_rows(spark, sf) -> DataFrame:
+    near = pairs.within(T.vectors(spark, sf), 0.75)
+    rank = F.pmod(F.xxhash64("i", "j"), F.lit(1000)) / 1000.0
+    f = F.array((F.col("i") + 1).cast("double"), (F.col("j") + 1).cast("double"), F.lit(20.0), rank, 1 - F.col("dist"), *((1 - F.col("dist")) / k for k in (5.0, 4.0, 3.0, 2.0, 1.0)))
+    return near.select("i", "j", f.alias("f"), (F.col("dist") < 0.7).cast("double").alias("label")).withColumn("f", classes.duplicate_features())
+
+
+@query()
+def gbt_duplicates(spark, sf):
+    """Scores of boosted trees on pair features, chosen by cross validation."""
+    rows = T.materialize(_duplicate_rows(spark, sf), "pair-features")
+    return classes.duplicate_scores(classes.fit_duplicates(rows, 3, (2,), (5,)), rows).select("i", "j", r6("score").alias("score"))
+
+
+# --- keypoints ---------------------------------------------------------------------------------------------------
+
+_KP = "kp AS (SELECT vec_id // 16 AS uid, (vec_id % 16)::INT AS k, CAST(embedding AS DOUBLE[]) AS d FROM embeddings)"
+
+
+def _keypoints(spark, sf) -> DataFrame:
+    return T.vectors(spark, sf).select(F.expr("uid div 16").alias("uid"), (F.col("uid") % 16).cast("int").alias("kp"), (F.col("uid") % 4).cast("double").alias("x"), F.expr("cast(uid % 16 div 4 as double)").alias("y"), F.col("features").alias("desc"))
+
+
+@query(f"""WITH {_KP}, c AS (SELECT s.uid AS a, t.uid AS b, s.k AS k1, t.k AS k2, round(list_distance(s.d, t.d), 9) AS dist FROM kp s JOIN kp t ON t.uid = s.uid + 1)
+    SELECT a, b, k1, (k1 % 4)::DOUBLE AS x1, (k1 // 4)::DOUBLE AS y1, (k2 % 4)::DOUBLE AS x2, (k2 // 4)::DOUBLE AS y2
+    FROM (SELECT *, row_number() OVER (PARTITION BY a, b, k1 ORDER BY dist, k2) AS r, row_number() OVER (PARTITION BY a, b, k2 ORDER BY dist, k1) AS s FROM c) WHERE r = 1 AND s = 1""")
+def keypoint_matches(spark, sf):
+    """Mutual nearest keypoints; sixteen vectors are the keypoints of an image."""
+    points = _keypoints(spark, sf)
+    return keypoints.mutual_nearest(points, points.select(F.col("uid").alias("a"), (F.col("uid") + 1).alias("b")).distinct())
+
+
+@query()
+def duplicate_pair_features(spark, sf):
+    """The ten features of image pairs and themselves; homographies come of seeded draws."""
+    points = _keypoints(spark, sf)
+    ids = points.select(F.col("uid").alias("a")).distinct()
+    return keypoints.pair_features(points, ids.select("a", F.col("a").alias("b")))
+
+
+@query("SELECT l_orderkey AS a, CAST(l_linenumber AS BIGINT) % 2 AS b, count(*) FILTER (WHERE l_quantity <= 15) > 15 AS valid FROM (SELECT l_orderkey % 40 AS l_orderkey, l_linenumber, l_quantity FROM lineitem) GROUP BY 1, 2")
+def transition_validity(spark, sf):
+    """Whether enough matches lie within 15 pixels; residuals are drawn from line items."""
+    rows = T.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 40).alias("a"), (F.col("l_linenumber").cast("long") % 2).alias("b"), F.col("l_quantity").cast("double").alias("residual"))
+    return keypoints.valid_transitions(rows)
+
+
+@query("""SELECT p_partkey AS id, round(ln(p_size), 6) + 0.0 AS f0, round(sqrt(p_size / 50.0), 6) AS f3,
+    (p_size <= 10 OR p_size / 50.0 < 0.3) AND p_partkey % 2 = 0 AS detail_wide, p_size <= 10 AND p_partkey % 2 = 0 AS detail FROM part""")
+def detail_flags(spark, sf):
+    """Detail flags and prepared features; features are drawn from parts."""
+    size = F.col("p_size").cast("double")
+    rows = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array(size, size, size, size / 50.0, size / 50.0, *(F.lit(0.5) for _ in range(5))).alias("f"), (F.col("p_partkey") % 2 == 0).alias("is_duplicate"))
+    ready = classes.duplicate_features()
+    return keypoints.detail_flags(rows).select("id", r6(ready[0]).alias("f0"), r6(ready[3]).alias("f3"), "detail_wide", "detail")
+
+
+# --- sources -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, substr(u, 1, 1) || '/' || substr(u, 2, 1) || '/' || substr(u, 3) || '.jpg' AS path FROM (SELECT page_id, md5(url) AS u FROM pages)")
+def image_paths(spark, sf):
+    """Paths of stored images by id."""
+    return T.table(spark, sf, "pages").select("page_id", X.image_path(F.md5(F.col("url").cast("binary"))).alias("path"))
+
+
+REGISTRY = [(0, "http://tion", "a", "/srv/a"), (1, "https://t", "b", "/srv/b"), (2, "http://", "rest", "/srv/rest")]
+
+
+def _registry(spark) -> DataFrame:
+    return spark.createDataFrame([(o, k, b, r) for o, b, k, r in REGISTRY], "ord int, key string, base_url string, root_folder string")
+
+
+_RESOLVED = """res AS (SELECT page_id, url, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+    hit AS (SELECT page_id, url, CASE WHEN starts_with(u, 'tion') THEN 'a' WHEN starts_with(u, 't') THEN 'b' ELSE 'rest' END AS key,
+            trim(substr(u, CASE WHEN starts_with(u, 'tion') THEN 5 WHEN starts_with(u, 't') THEN 2 ELSE 1 END), '/') AS ident FROM res)"""
+
+
+@query(f"WITH {_RESOLVED} SELECT page_id AS uid, url, key AS resolver_key, ident AS iiif_server_id FROM hit")
+def resolver_match(spark, sf):
+    """The first resolver whose address begins a URL."""
+    return locations.resolve(T.table(spark, sf, "pages").select(F.col("page_id").alias("uid"), "url"), _registry(spark))
+
+
+@query(f"WITH {_RESOLVED}, k AS (SELECT unnest(['a', 'b', 'rest', 'none']) AS key) SELECT k.key, count(page_id) AS n FROM k LEFT JOIN hit USING (key) GROUP BY k.key")
+def stats_per_source(spark, sf):
+    """Rows of each registered resolver."""
+    registry = _registry(spark).unionByName(spark.createDataFrame([(3, "none", "ftp://none", "/srv/none")], "ord int, key string, base_url string, root_folder string"))
+    located = locations.resolve(T.table(spark, sf, "pages").select(F.col("page_id").alias("uid"), "url"), _registry(spark))
+    return locations.statistics(located, registry)
+
+
+@query("SELECT doc_id, CASE WHEN contains(source, '1') THEN 'one' WHEN contains(source, 'src') THEN 'other' END AS kind FROM documents")
+def source_case(spark, sf):
+    """The kind of a source by marks in its name."""
+    return T.table(spark, sf, "documents").select("doc_id", X.source_kind(F.col("source"), [("1", "one"), ("src", "other")]).alias("kind"))
+
+
+@query("SELECT vec_id AS uid, CAST(1 AS INT) AS part FROM embeddings WHERE vec_id < 300 UNION ALL SELECT vec_id, 2 FROM embeddings WHERE vec_id >= 300")
+def index_append_skip(spark, sf):
+    """An index built of some rows and appended with all, known ids skipped."""
+    rows = T.vectors(spark, sf)
+    path = T.new_path(spark, "index")
+    index.build(rows.where("uid < 300"), path)
+    index.append(rows.where("uid >= 200"), path, skip_known=True)
+    return index.open_index(spark, path).select("uid", F.when(F.col("uid") < 300, 1).otherwise(2).alias("part"))
+
+
+@query("SELECT count(*) AS n, max(len(embedding))::INT AS d, false AS with_maps FROM embeddings")
+def index_description(spark, sf):
+    """Size of an index."""
+    return index.describe(T.vectors(spark, sf))
+
+
+@query()
+def pca_half_dim(spark, sf):
+    """Vectors of half the dimensions; the signs of the components are arbitrary."""
+    rows = T.vectors(spark, sf)
+    return index.reduce(rows, index.fit_reduction(rows, 32)).select("uid", F.posexplode("features").alias("k", "value"))
+
+
+@query("""WITH l AS (SELECT o_custkey % 200 AS uid, o_orderstatus AS resolver_key, o_orderkey AS iiif, o_orderkey AS added FROM orders),
+    k AS (SELECT * FROM l WHERE added % 2 = 0), n AS (SELECT * FROM l WHERE added % 2 = 1),
+    b AS (SELECT uid, resolver_key, iiif, 0 AS new, NULL AS o FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY added DESC) AS r FROM k) WHERE r = 1 UNION ALL SELECT uid, resolver_key, iiif, 1, added FROM n)
+    SELECT uid, resolver_key, iiif_server_id FROM (SELECT uid, resolver_key, CAST(iiif AS VARCHAR) AS iiif_server_id, row_number() OVER (PARTITION BY uid ORDER BY new DESC, o DESC NULLS LAST) AS r FROM b) WHERE r = 1""")
+def upsert_locations(spark, sf):
+    """Locations replaced by later ones; they are drawn from orders."""
+    rows = T.table(spark, sf, "orders").select((F.col("o_custkey") % 200).alias("uid"), F.col("o_orderstatus").alias("resolver_key"), F.col("o_orderkey").cast("string").alias("iiif_server_id"), F.col("o_orderkey").alias("added"))
+    old = rows.where("added % 2 = 0")
+    last = Window.partitionBy("uid").orderBy(F.desc("added"))
+    known = old.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r", "added")
+    return locations.upsert(known, rows.where("added % 2 = 1"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN w > h THEN 1024 ELSE CAST(trunc(w * 1024 / h) AS INT) END AS width, CASE WHEN w > h THEN CAST(trunc(h * 1024 / w) AS INT) ELSE 1024 END AS height,
+    CASE WHEN len(list_filter([500, 1500, 3000], lambda s: s > 1024 AND s * h / w > 1024)) > 0 THEN CAST(list_min(list_filter([500, 1500, 3000], lambda s: s > 1024 AND s * h / w > 1024)) AS VARCHAR) || ','
+         WHEN w < 1024 AND h < 1024 THEN 'full' WHEN w > h THEN '1024,' ELSE ',1024' END AS size, w / h > 0.11 AND w / h < 9.0 AS ok
+    FROM (SELECT p_partkey, p_size * 40 AS w, (p_partkey % 37 + 1) * 50 AS h FROM part)""")
+def image_sizes(spark, sf):
+    """Size arithmetic of images; sides are drawn from parts."""
+    rows = T.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 40).alias("w"), ((F.col("p_partkey") % 37 + 1) * 50).alias("h"))
+    sizes = F.transform(F.array(F.lit(500), F.lit(1500), F.lit(3000)), lambda s: F.struct(s.alias("width"), (s * F.col("h") / F.col("w")).alias("height")))
+    fitted = X.fitted_size(F.col("w"), F.col("h"), 1024)
+    return rows.select("id", fitted["width"].alias("width"), fitted["height"].alias("height"), X.pyramid_size(sizes, F.col("w"), F.col("h")).alias("size"), X.aspect_ok(F.col("w"), F.col("h")).alias("ok"))
+
+
+@query("SELECT page_id, url AS text FROM pages")
+def base64_decode(spark, sf):
+    """URL-safe base64 there and back."""
+    coded = F.translate(F.base64(F.col("url").cast("binary")), "+/", "-_")
+    return T.table(spark, sf, "pages").select("page_id", X.url_safe_base64(coded).cast("string").alias("text"))
+
+
+@query("""SELECT 'union' AS part, n FROM (SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT 'intersect', n FROM (SELECT c_nationkey AS n FROM customer WHERE c_custkey % 3 = 0 INTERSECT SELECT s_nationkey FROM supplier)
+    UNION ALL SELECT 'except', n FROM (SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)""")
+def id_sets(spark, sf):
+    """Union, intersection and difference of id sets."""
+    c = T.table(spark, sf, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey")
+    s = T.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey")
+    mark = lambda df, part: df.select(F.lit(part).alias("part"), "n")
+    both = mark(c.select("n").union(s.select("n")).distinct(), "union")
+    same = mark(c.where("c_custkey % 3 = 0").select("n").intersect(s.select("n")), "intersect")
+    return both.union(same).union(mark(c.select("n").distinct().join(s.where("s_suppkey % 3 = 0").select("n"), "n", "left_anti"), "except"))
+
+
+@query("""SELECT c.c_custkey AS key, m.o_orderstatus AS author FROM customer c JOIN (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) m ON m.o_custkey = c.c_custkey AND r = 1""")
+def metadata_join(spark, sf):
+    """Rows with the last metadata of their key."""
+    meta = T.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("author"), "o_orderkey")
+    return locations.with_metadata(T.table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), meta, "o_orderkey")
