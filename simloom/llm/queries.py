@@ -84,7 +84,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     written = tokenfiles.write_token_files(encoded, path, SEPARATOR)
     lengths = tokenfiles.document_lengths(tokenfiles.block_summaries(spark, path, SEPARATOR, files=written.select("file").distinct()))
-    return lengths.join(written, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return lengths.join(written.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
