@@ -35,7 +35,7 @@ def allowed(index: DataFrame, uids: list | None) -> DataFrame:
     if not uids:
         return index
     names = index.sparkSession.createDataFrame([(u,) for u in set(uids)], f"uid {dict(index.dtypes)['uid']}")
-    return index.join(F.broadcast(names) if len(names.columns) and len(set(uids)) <= ALLOWED else names, "uid", "left_semi")
+    return index.join(F.broadcast(names) if len(set(uids)) <= ALLOWED else names, "uid", "left_semi")
 
 
 def total(index: DataFrame, uids: list | None = None) -> int:
@@ -54,9 +54,13 @@ def scorer(positives: np.ndarray, negatives: np.ndarray | None = None) -> Callab
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """(rank, uid, score): the k rows of highest score. Only k rows of each task reach the one that ranks them."""
-    best = scored.select("uid", "score").orderBy(F.desc("score"), "uid").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "uid")))
+    """(rank, uid, score): the k rows of highest score; scores that agree to 12 places are equal.
+
+    Only k rows of each task reach the one that ranks them.
+    """
+    order = F.desc(F.round("score", 12))
+    best = scored.select("uid", "score").orderBy(order, "uid").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(order, "uid")))
 
 
 def search_from_features(index: DataFrame, positives: np.ndarray, negatives: np.ndarray | None = None, k: int = 100, allow: list | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ def _with(ctes: str, select: str, recursive: bool = False) -> str:
 def _ranked_sql(score: str, extra: str = "", where: str = "") -> str:
     return _with(
         f"{_E}{extra}, s AS (SELECT vec_id, {score} AS score FROM e {where})",
-        "SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id AS uid, round(score, 6) + 0.0 AS score FROM s ORDER BY score DESC, vec_id LIMIT 100",
+        "SELECT row_number() OVER (ORDER BY round(score, 12) DESC, vec_id) AS rank, vec_id AS uid, round(score, 6) + 0.0 AS score FROM s ORDER BY round(score, 12) DESC, vec_id LIMIT 100",
     )
 
 

@@ -22,7 +22,7 @@ def resolve(urls: DataFrame, registry: DataFrame) -> DataFrame:
     base = X.without_scheme(F.col("base_url"))
     hit = each.join(F.broadcast(registry), F.startswith(F.col("_u"), base), "left")
     first = hit.groupBy("uid", "url").agg(F.min_by(F.struct("key", base.alias("base"), "_u"), "ord").alias("x"))
-    rest = F.trim(F.lit("/"), F.substr(F.col("x._u"), F.length("x.base") + 1))
+    rest = F.trim(F.substr(F.col("x._u"), F.length("x.base") + 1), F.lit("/"))
     return first.select("uid", "url", F.col("x.key").alias("resolver_key"), F.when(F.col("x.key").isNotNull(), rest).alias("iiif_server_id"))
 
 
