@@ -449,8 +449,9 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     """Runs (id, start, end) of the starts of windows that occur in another place, and the texts (id, text binary) that have some.
 
     Different texts only: what occurs again because a whole text does is not
-    looked for. ``id`` is ``text_id``.
+    looked for. ``id`` is ``text_id``. Grams are a quarter of ``length`` at most.
     """
+    gram = min(gram, max(1, length // 4))
     texts = docs.select(text_id(text).alias("id"), F.col(text).cast("binary").alias("text")).where(F.length("text") >= length)
     found = materialize(texts.mapInArrow(_scan(length, gram), _LANE), "lanes")
     who = F.xxhash64("id", "place")
