@@ -456,6 +456,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     found = materialize(texts.mapInArrow(_scan(length, gram), _LANE), "lanes")
     who = F.xxhash64("id", "place")
     many = found.select("key", who.alias("who")).groupBy("key").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b").select("key")
+    many = materialize(many, "keys")  # as a table of its own, so that the join below can split a hot key
     listed = found.join(many, "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("key", "place", "low", "high")).alias("at"))
     unique = texts.groupBy("id").agg(F.first("text").alias("text"))
     texts = materialize(unique.join(listed, "id"), "texts")
