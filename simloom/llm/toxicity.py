@@ -40,7 +40,7 @@ STANDS_FOR = {
 #: Characters that may stand between letters that were set apart.
 BETWEEN = " .-_*|/~"
 # Costs of the channel, in nats.
-COST_SUBSTITUTE, COST_DROP_SYMBOL, COST_DROP_REPEAT, COST_DROP_BETWEEN, COST_KEEP_REPEAT = 0.7, 6.0, 0.4, 0.2, 1.2
+COST_SUBSTITUTE, COST_DROP_SYMBOL, COST_DROP_REPEAT, COST_DROP_BETWEEN, COST_KEEP_REPEAT, COST_PART = 0.7, 6.0, 0.4, 0.2, 0.5, 1.5
 #: Characters decoded at once.
 LONGEST_SPAN = 64
 
@@ -223,10 +223,14 @@ class Decoder:
                         key, value = (context, last), (cost + extra, out)
                     if key not in reached or value < reached[key]:
                         reached[key] = value
+                if c in BETWEEN and context:  # the separator may also part two words
+                    key, value = (0, ""), (cost + COST_PART + self.cost[context * SYMBOLS], out + " ")
+                    if key not in reached or value < reached[key]:
+                        reached[key] = value
             states, previous = reached, c
             if len(states) > 64:
                 states = dict(sorted(states.items(), key=lambda x: x[1])[:64])
-        done = min((cost + self.cost[context * SYMBOLS], out) for (context, _), (cost, out) in states.items())
+        done = min((cost + (self.cost[context * SYMBOLS] if context else 0.0), out) for (context, _), (cost, out) in states.items())
         return span[:head] + done[1] + span[tail:]
 
 
