@@ -25,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.functions.workspace import materialize
 from simloom.llm.bytescan import mix, powers, slices, utf8
 
 #: Symbols of the language model: 0 is the edge of a word, 1-26 are a-z, 27 is any other letter.
 SYMBOLS, ORDER = 28, 4
 #: Most labelled texts that the classifier is fitted on, and most entries of its lexicon.
 SAMPLE, LEXICON = 8_000, 20_000
+#: Parts that the sample's texts are dealt to.
+PIECES = 8
 
 # The letters that a character is written for.
 STANDS_FOR = {
@@ -341,14 +344,16 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_i
 
     The sample takes the keys of least hash, a quarter of which is kept for the
     regression and the rest for the lexicon. The keys of the sample, of a bound
-    number, are broadcast, so the texts are not shuffled by key. A key with
-    several labels counts as toxic if any of them says so.
+    number, are broadcast, so the texts are not shuffled by key: one pass over the
+    documents, in as many tasks as they have, writes those of the sample to a table
+    of ``PIECES`` parts. A key with several labels counts as toxic if any of them says so.
     """
     spark = docs.sparkSession
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     chosen = chosen.withColumn("_order", F.xxhash64("_key")).orderBy("_order", "_key").limit(sample).select("_key", "_label", (F.pmod("_order", F.lit(4)) == 0).alias("_late"))
     rows = spark.createDataFrame(chosen.toArrow(), chosen.schema)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(rows), "_key").select("_text", "_label", "_late")
+    texts = materialize(texts.repartition(PIECES), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, found = Decoder(model), {0: [], 1: []}
@@ -382,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_i
                     zero = np.zeros(len(h[k]), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), *(pa.array(v) for v in ((zero, c[k], zero, d[k]) if y else (c[k], zero, d[k], zero)))], names=["feature", "c0", "c1", "d0", "d1"])
 
-    early = texts.where(~F.col("_late")).coalesce(8)
+    early = texts.where(~F.col("_late"))
     sums = early.mapInArrow(count, "feature long, c0 long, c1 long, d0 long, d1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "d0", "d1")))
     kept = sums.where((F.col("feature") == 0) | (F.col("d1") >= 4))
     sums_at = kept.orderBy(F.when(F.col("feature") == 0, 0).otherwise(1), F.desc(F.col("c1") / (F.col("c0") + 1.0)), "feature").limit(LEXICON * 4).toArrow()
@@ -403,7 +408,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_i
                 m = out.measures(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(pa.array(m[:, k]) for k in range(3)), batch.column(1).slice(i, j - i).cast(pa.float64())], names=["a", "b", "c", "y"])
 
-    seen = texts.where("_late").coalesce(8).mapInArrow(measure, "a double, b double, c double, y double").toArrow()
+    seen = texts.where("_late").mapInArrow(measure, "a double, b double, c double, y double").toArrow()
     x, y = np.stack([seen[c].to_numpy() for c in "abc"] + [np.ones(len(seen))], axis=1), seen["y"].to_numpy()
     if len(y):
         share = (y.sum() + 0.5) / (len(y) + 1)
