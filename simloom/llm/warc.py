@@ -275,19 +275,29 @@ class WarcSource(DataSource):
         return WarcWriter(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Make the format known to the session.
+
+    Spark looks such formats up in the session that is active in the calling
+    thread, and a new thread has none; so this one becomes it.
+    """
+    spark.sparkContext._jvm.org.apache.spark.sql.SparkSession.setActiveSession(spark._jsparkSession)
+    spark.dataSource.register(WarcSource)
+
+
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of the archives below ``path``; header names in ``headers`` are in lower case.
 
     Turns on the session's setting for filters pushed to Python data sources.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(WarcSource)
+    register(spark)
     return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
 
 
 def write_archive(records: DataFrame, path: str) -> None:
     """Write records (record_id, record_type, target_uri, date, headers, payload) below ``path``."""
-    records.sparkSession.dataSource.register(WarcSource)
+    register(records.sparkSession)
     records.write.format(FORMAT).mode("append").save(path)
 
 

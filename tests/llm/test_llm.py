@@ -7,6 +7,7 @@ import os
 import random
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
@@ -336,6 +337,8 @@ def test_archive_cases_and_filters(spark, tmp_path):
     read = {r.record_type: (bytes(r.payload), r.headers.get("x-long")) for r in warc.read_archive(spark, str(tmp_path / "p")).collect()}
     assert read == {"resource": (b"abc", "a b"), "metadata": (b"", None)}
     assert warc.archive_report(pages.limit(0)).count() == 0
+    with ThreadPoolExecutor(1) as other:  # a thread in which no session is active
+        assert other.submit(lambda: warc.archive_report(pages).count()).result() == 7
 
 
 # --- HTML ---
