@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from simloom.llm import bpe, decontaminate, htmltext, langid, nearcopies, neighbours, queries, repeats, tokenfiles, toxicity, warc
 from simloom.llm.bytescan import utf8
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 RANKS, PATTERN = public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -305,6 +305,13 @@ def test_decoding_and_learning(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(tests, toxicity.language_model(docs.limit(0)), empty).collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_toxicity_of_held_out_rows(spark):
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    n, said, true, both = queries.op2_toxicity(spark, LARGER).where("held_out").join(labels, "doc_id").agg(F.count("*"), F.sum("predicted"), F.sum("toxic"), F.sum(F.col("predicted") * F.col("toxic"))).first()
+    assert n > 500 and both / said > 0.9 and both / true > 0.85
+
+
 # --- WARC ---
 
 
