@@ -16,6 +16,7 @@ uses it. Null and empty texts score as a text without words. Rows may repeat.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,8 +45,8 @@ STANDS_FOR = {
 BETWEEN = " .-_*|/~"
 # Costs of the channel, in nats.
 COST_SUBSTITUTE, COST_DROP_SYMBOL, COST_DROP_REPEAT, COST_DROP_BETWEEN, COST_KEEP_REPEAT, COST_PART = 0.7, 6.0, 0.4, 0.2, 0.5, 1.5
-#: Characters decoded at once.
-LONGEST_SPAN = 64
+#: Longest span whose decoding is remembered, and characters after which what all paths agree on is put out.
+REMEMBERED, COMMIT = 64, 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -185,23 +186,23 @@ class Decoder:
         self.memory: dict[str, str] = {}
 
     def restore(self, span: str) -> str:
-        """The likeliest plain spelling of a span; over-long spans are decoded piece by piece."""
+        """The likeliest plain spelling of a span."""
         if (known := self.memory.get(span)) is None:
+            known = self._viterbi(span.lower())
             if len(self.memory) > 100_000:
                 self.memory.clear()
-            body = span.lower()
-            known = " ".join(self._viterbi(body[i : i + LONGEST_SPAN]) for i in range(0, len(body), LONGEST_SPAN))
-            self.memory[span] = known
+            if len(span) <= REMEMBERED:
+                self.memory[span] = known
         return known
 
     def _viterbi(self, span: str) -> str:
         head = re.match(r"[^\w@$!|+(<*]*", span).end()
         tail = len(span) - re.match(r"[^\w@$|+]*", span[::-1]).end()
         tail = max(head, tail)
-        # state: the last three symbols and the last character kept; value: cost and letters so far
+        # state: the last three symbols and the last character kept; value: cost and letters since the last commitment
         states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
-        previous = ""
-        for c in span[head:tail]:
+        previous, sure = "", []
+        for n, c in enumerate(span[head:tail], 1):
             moves: list[tuple[str, float]] = []  # letters put out, cost
             if c.isalpha():
                 if c == previous:
@@ -233,8 +234,11 @@ class Decoder:
             states, previous = reached, c
             if len(states) > 64:
                 states = dict(sorted(states.items(), key=lambda x: x[1])[:64])
+            if n % COMMIT == 0 and (agreed := os.path.commonprefix([out for _, out in states.values()])):
+                sure.append(agreed)
+                states = {key: (cost, out[len(agreed) :]) for key, (cost, out) in states.items()}
         done = min((cost + (self.cost[context * SYMBOLS] if context else 0.0), out) for (context, _), (cost, out) in states.items())
-        return span[:head] + done[1] + span[tail:]
+        return span[:head] + "".join(sure) + done[1] + span[tail:]
 
 
 def restored(data: np.ndarray, decoder: Decoder) -> np.ndarray:

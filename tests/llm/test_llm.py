@@ -305,6 +305,21 @@ def test_decoding_and_learning(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(tests, toxicity.language_model(docs.limit(0)), empty).collect())
 
 
+def _plain_model():
+    counts = toxicity.ngram_counts(np.frombuffer(b"you are a stupid idiot in the house by the river " * 50, np.uint8))
+    return toxicity.smoothed(counts.astype(float).reshape((toxicity.SYMBOLS,) * toxicity.ORDER))
+
+
+def test_long_spans_are_decoded_whole():
+    decoder = toxicity.Decoder(_plain_model())
+    for n in range(40):  # the word lies at every place about a multiple of 64
+        for span in ("river_" * (n // 6 + 8) + "x" * (n % 6) + "_1d10t_" + "river_" * 20, "the_" * n + "$tup1d_" * 3):
+            assert re.search("idiot|stupid", decoder.restore(span)) and decoder.restore(span).count("stupid") == 3 * ("$" in span)
+    spaced = " ".join("youareastupididiot" * 12)
+    out = decoder.restore(spaced).replace(" ", "")
+    assert out.count("idiot") == 12 and out.count("stupid") == 12 and len(out) == 18 * 12
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
 def test_toxicity_of_held_out_rows(spark):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
