@@ -78,46 +78,31 @@ def suspicious(data: np.ndarray) -> list[tuple[int, int]]:
     """Byte ranges of spans that may be obfuscated words, in order, without overlaps.
 
     A span is a run without white space, or several of them joined where single
-    characters are set apart. It counts if in it a symbol stands before a letter
-    or ends the word, a letter comes three times in a row, three letters are
-    doubled, or at least four single characters alternate with separators.
+    characters are set apart. It counts if in it a symbol stands before a letter,
+    a run of symbols ends a word (punctuation may follow), a letter comes twice in
+    a row, or at least four single characters are set apart by any number of
+    separators. What it reads as is left to the costs of the channel.
     """
     n = len(data)
-    if n < 3:
+    if n < 2:
         return []
     low = _LOWER[data]
     letter, leet, apart, space = _LETTER[low], _LEET[low], _APART[low], _SPACE[low]
     mark = leet & _shift(letter, 1)
-    ends = _shift(space, 1)
-    ends[-1] = True
-    mark |= leet & _shift(letter, -1) & ends & (low != 33) & (low != 42)
-    same = letter & (low < 128) & (low == _shift(low, 1))
-    mark |= same & _shift(same, 1)
-    single = (letter & (low < 128)) | leet
-    single &= _shift(apart, 1) | ends
-    before = _shift(apart | space, -1)
-    before[0] = True
-    single &= before
-    run = single & _shift(single, 2) & _shift(single, 4) & _shift(single, 6)
+    mark |= letter & (low < 128) & (low == _shift(low, 1))
+    first, last = np.flatnonzero(leet & ~_shift(leet, -1)), np.flatnonzero(leet & ~_shift(leet, 1))
+    sure = np.cumsum(leet & (low != 33) & (low != 42))  # exclamation marks and stars alone are punctuation
+    ending = _shift(letter, -1)[first] & ~_shift(letter | _DIGIT[low], 1)[last] & (sure[last] > sure[np.maximum(first - 1, 0)])
+    mark[first[ending]] = True
     at = np.flatnonzero(space)
+    token = np.unique(np.searchsorted(at, np.flatnonzero(mark)))
+    edges = np.concatenate([[-1], at, [n]])
+    wide = list(zip((edges[token] + 1).tolist(), edges[token + 1].tolist(), strict=True))
+    runs = _set_apart(low, letter, leet, apart)
+    if not runs:
+        return wide
     spans: list[tuple[int, int]] = []
-
-    def token(i: int) -> tuple[int, int]:
-        k = int(np.searchsorted(at, i))
-        return (int(at[k - 1]) + 1 if k else 0), (int(at[k]) if k < len(at) else n)
-
-    found = [(i, *token(i)) for i in np.flatnonzero(mark).tolist()]
-    doubled = np.flatnonzero(same & ~mark)
-    if len(doubled) > 2:
-        owner = np.searchsorted(at, doubled)
-        third = doubled[2:][owner[2:] == owner[:-2]]
-        found += [(i, *token(i)) for i in third.tolist()]
-    wide = [(a, b) for _, a, b in found]
-    hit = np.flatnonzero(run)
-    if len(hit):
-        cuts = np.flatnonzero(np.diff(hit) > 2) + 1
-        wide += [(int(g[0]), int(g[-1]) + 7) for g in np.split(hit, cuts)]
-    for a, b in sorted(set(wide), key=lambda x: (x[0], -x[1])):
+    for a, b in sorted({*wide, *runs}, key=lambda x: (x[0], -x[1])):
         if spans and a < spans[-1][1]:
             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
@@ -125,6 +110,25 @@ def suspicious(data: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
+def _set_apart(low: np.ndarray, letter: np.ndarray, leet: np.ndarray, apart: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of at least four single characters with nothing but separators between them.
+
+    A single character touches no letter, digit, sign that stands for a letter, or
+    apostrophe. Signs that are separators too are single beside other separators;
+    of several side by side every other one counts.
+    """
+    solid = letter | _DIGIT[low] | (low == 39) | (leet & ~apart & (low != 33) & (low != 40) & (low != 60))
+    single = ((letter & (low < 128)) | leet) & ~_shift(solid, 1) & ~_shift(solid, -1)
+    first, last = np.flatnonzero(single & ~_shift(single, -1)), np.flatnonzero(single & ~_shift(single, 1))
+    if not len(first):
+        return []
+    barred = np.cumsum(~(apart | single))
+    cuts = np.flatnonzero(barred[first[1:]] != barred[first[:-1]]) + 1
+    start, stop = np.insert(cuts, 0, 0), np.append(cuts, len(first))
+    many = np.add.reduceat((last - first) // 2 + 1, start) >= 4
+    return list(zip(first[start[many]].tolist(), (last[stop[many] - 1] + 1).tolist(), strict=True))
+
+
 def ngram_counts(data: np.ndarray) -> np.ndarray:
     """Counts of the language model's n-grams over all words of a buffer."""
     s = _SYMBOL[_LOWER[data]]

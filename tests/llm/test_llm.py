@@ -320,6 +320,23 @@ def test_long_spans_are_decoded_whole():
     assert out.count("idiot") == 12 and out.count("stupid") == 12 and len(out) == 18 * 12
 
 
+def test_dealt_noise_is_decoded():
+    counts = toxicity.ngram_counts(np.frombuffer(b"you are a dumb stupid idiot dumbass ass in the letter house by the river " * 50, np.uint8))
+    decoder = toxicity.Decoder(toxicity.smoothed(counts.astype(float).reshape((toxicity.SYMBOLS,) * toxicity.ORDER)))
+
+    def read(t):
+        return toxicity.restored(np.frombuffer(t.encode(), np.uint8), decoder).tobytes().decode()
+
+    for said, meant in (
+        ("the i  d  i  o  t of", "idiot"), ("i - d - i - o - t", "idiot"), ("i   d -- i . o / t", "idiot"), ("a d u m b, river", "dumb"), ("(d  u  m  b)", "dumb"),
+        ("an a$$ of", "ass"), ("an a$$", "ass"), ("dumb455 river", "dumbass"), ("an idio7.", "idiot"), ('"idio7", he', "idiot"), ("an a$$!", "ass"), ("an a55-house", "ass"),
+        ("idiiot", "idiot"), ("an idiiot.", "idiot"), ("stuppid", "stupid"),
+    ):
+        assert meant in read(said), (said, read(said))
+    for t in ("", "a", "the river", "the letter", "wow!! he**", "a, b, c, d", "the\na\nb\nc\nd"):
+        assert read(t) == t
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
 def test_toxicity_of_held_out_rows(spark):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
