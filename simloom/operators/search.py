@@ -85,8 +85,11 @@ def search_one(index: DataFrame, uid, k: int = 100, by_distance: bool = False) -
     return ranked(index.withColumn("score", -V.cosine_distance(F.col("features"), example)), k)
 
 
-def search_many(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, uid, score): the k rows of highest scalar product for each of ``queries`` (query_id, features), in blocks."""
+def search_many(index: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, rank, uid, score): the k rows of highest scalar product for each of ``queries`` (query_id, features), in blocks.
+
+    Without ``k`` each query is searched to its own ``depth``, a column of ``queries``.
+    """
     import pyarrow as pa
 
     from simloom.operators.pairs import _matrix
@@ -94,15 +97,19 @@ def search_many(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     block = 4_096
     spans = max(1, -(-index.count() // block)), max(1, -(-queries.count() // 512))
     rows = index.select("uid", V.doubles(F.col("features")).alias("v"), F.pmod(F.xxhash64("uid"), F.lit(spans[0])).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans[1] - 1).cast("long"))).alias("q"))
-    asked = queries.select("query_id", V.doubles(F.col("features")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans[0] - 1).cast("long"))).alias("p"), F.pmod(F.xxhash64("query_id"), F.lit(spans[1])).alias("q"))
+    depth = F.col("depth").cast("long") if k is None else F.lit(k).cast("long").alias("depth")
+    asked = queries.select("query_id", V.doubles(F.col("features")).alias("v"), depth, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans[0] - 1).cast("long"))).alias("p"), F.pmod(F.xxhash64("query_id"), F.lit(spans[1])).alias("q"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "uid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "uid": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "depth": pa.array([], pa.int64())})
         uid, own, s = a["uid"].to_numpy(), b["query_id"].to_numpy(), _matrix(b["v"]) @ _matrix(a["v"]).T
-        order = np.lexsort((np.broadcast_to(uid, s.shape), -s), axis=1)[:, :k]
-        return pa.table({"query_id": np.repeat(own, order.shape[1]), "uid": uid[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
+        order = np.lexsort((np.broadcast_to(uid, s.shape), -s), axis=1)
+        depth = b["depth"].to_numpy()
+        kept = np.arange(order.shape[1]) < depth[:, None]
+        each = kept.sum(axis=1)
+        return pa.table({"query_id": np.repeat(own, each), "uid": uid[order[kept]], "score": np.take_along_axis(s, order, axis=1)[kept], "depth": np.repeat(depth, each)})
 
-    found = rows.groupBy("p", "q").cogroup(asked.groupBy("p", "q")).applyInArrow(best, "query_id long, uid long, score double")
+    found = rows.groupBy("p", "q").cogroup(asked.groupBy("p", "q")).applyInArrow(best, "query_id long, uid long, score double, depth long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "uid"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "uid", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= F.col("depth")).select("query_id", "rank", "uid", "score")

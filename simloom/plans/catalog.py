@@ -437,10 +437,10 @@ def quota_split(spark, sf):
 _ALLRES = "allres AS (SELECT q.uid AS query_id, x.vec_id AS uid, row_number() OVER (PARTITION BY q.uid ORDER BY list_dot_product(x.v, p.v) DESC, x.vec_id) AS rank FROM nodes q JOIN n p ON p.vec_id = q.uid CROSS JOIN n x)"
 
 
-def _all_results(spark, sf, links, depth=T.DEPTH):
+def _all_results(spark, sf, links):
     rows = T.vectors(spark, sf)
-    asked = graph.nodes(links)
-    return T.materialize(search.search_many(rows, rows.join(asked, "uid").select(F.col("uid").alias("query_id"), "features"), depth), "all-results")
+    asked = rows.join(mining.reach(links), "uid").select(F.col("uid").alias("query_id"), "features", F.col("reach").alias("depth"))
+    return T.materialize(search.search_many(rows, asked), "all-results")
 
 
 @query(_with(f"""{_ANY}, {_QUOTA}, {_ALLRES}, ob AS (SELECT uid, uid AS other FROM nodes UNION SELECT uid, other FROM nb),
@@ -463,7 +463,7 @@ def hard_negatives(spark, sf):
 def triplet_candidates(spark, sf):
     """Triplets of a query, a target and a harder negative."""
     links = T.links(spark, sf)
-    return mining.triplets(links, T.results(spark, sf, links), 5, 0.1, "t")
+    return mining.triplets(links, T.triplet_results(spark, sf, links, 5), 5, 0.1, "t")
 
 
 @query(_with(_RESULTS, "SELECT DISTINCT least(query_id, uid) AS a, greatest(query_id, uid) AS b FROM res WHERE rank <= 21 AND query_id <> uid"))

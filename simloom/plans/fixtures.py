@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.functions.workspace import materialize, new_path
-from simloom.operators import graph, pairs, search
+from simloom.operators import graph, mining, pairs, search
 
 __all__ = ["materialize", "new_path"]
 
@@ -55,3 +55,11 @@ def results(spark: SparkSession, sf: str, graph_links: DataFrame, depth: int = D
     rows = vectors(spark, sf)
     queries = rows.join(asked, rows["uid"] == asked["query_id"]).select("query_id", "features")
     return materialize(search.search_many(rows, queries, depth), "results")
+
+
+def triplet_results(spark: SparkSession, sf: str, graph_links: DataFrame, quota: int) -> DataFrame:
+    """The same, each node searched as deep as the rows that it ignores ask for, and to ``DEPTH`` at least."""
+    rows = vectors(spark, sf)
+    asked = mining.triplet_depth(graph_links, quota, DEPTH)
+    queries = rows.join(asked, rows["uid"] == asked["query_id"]).select("query_id", "features", "depth")
+    return materialize(search.search_many(rows, queries), "results")

@@ -12,6 +12,8 @@ from simloom.functions import text as X
 from simloom.functions import vectors as V
 from simloom.operators import classes, evaluation, featuremaps, graph, keypoints, matching, mining, pairs, region, search, svm
 from simloom.operators.components import connected_components
+from simloom.plans import catalog
+from simloom.plans import fixtures as T
 from simloom.sources import index, locations, tables
 from simloom.streaming.append import append_stream
 
@@ -133,6 +135,23 @@ def test_quotas(spark):
     assert dict(mining.quotas(keys, "uid", 7).collect()) == {1: 3, 3: 2, 5: 2}
 
 
+def test_mining_searches_as_deep_as_the_exclusions_ask_for(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 64))
+    x[:450] = x[0]  # copies fill the first 450 results of each other
+    x[450] = 0.4 * x[0] + 0.9 * x[450]
+    rows = [(i, [float(t) for t in v / np.linalg.norm(v)], 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    links = spark.createDataFrame([(0, i, "DUPLICATE") for i in range(1, 450)] + [(0, 450, "POSITIVE")], "img1 long, img2 long, type string")
+    hard = mining.hard_negatives(links, catalog._all_results(spark, str(tmp_path), links), 451, "h").collect()
+    assert {r.a for r in hard if r.a < 2} == {0, 1} and min(r.b for r in hard if r.a == 0) > 450
+    depths = dict(mining.triplet_depth(links, 5, 400).collect())
+    assert depths == {0: 461, 450: 461}
+    found = T.triplet_results(spark, str(tmp_path), links, 5)
+    assert dict(found.groupBy("query_id").count().collect()) == depths
+    assert {r.query_id for r in mining.triplets(links, found, 5, 0.5, "t").collect()} >= {0}
+
+
 def test_codec_cases(spark):
     rows = [(1, 1, 1, 4, [0.0, 2.0, 0.0, 3.0]), (2, 1, 1, 4, [5.0] * 4), (3, 1, 1, 4, [0.0] * 4)]
     maps = spark.createDataFrame(rows, "uid long, h int, w int, c int, data array<double>")
