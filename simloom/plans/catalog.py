@@ -696,10 +696,11 @@ def keypoint_matches(spark, sf):
 
 @query()
 def duplicate_pair_features(spark, sf):
-    """The ten features of image pairs and themselves; homographies come of seeded draws."""
+    """The ten features of each image with the next one and with itself; homographies come of seeded draws."""
     points = _keypoints(spark, sf)
-    ids = points.select(F.col("uid").alias("a")).distinct()
-    return keypoints.pair_features(points, ids.select("a", F.col("a").alias("b")))
+    ids = points.select(F.col("uid").alias("b")).distinct()
+    each = ids.select(F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("a"), "b")
+    return keypoints.pair_features(points, each.join(ids.select(F.col("b").alias("a")), "a", "left_semi"))
 
 
 @query("SELECT l_orderkey AS a, CAST(l_linenumber AS BIGINT) % 2 AS b, count(*) FILTER (WHERE l_quantity <= 15) > 15 AS valid FROM (SELECT l_orderkey % 40 AS l_orderkey, l_linenumber, l_quantity FROM lineitem) GROUP BY 1, 2")

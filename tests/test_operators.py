@@ -205,6 +205,17 @@ def test_keypoint_features(spark):
     assert got[1, 2].f[:3] == [30.0, 30.0, 30.0] and got[1, 2].f[5:] == [1.0] * 5 and got[1, 3].f is None
 
 
+def test_features_of_pairs_of_different_images(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((64, 64))
+    x[16:32] = x[:16].reshape(4, 4, 64)[:, ::-1].reshape(16, 64)  # image 1 is image 0 mirrored; 2 and 3 are others
+    rows = [(i, [float(t) for t in v], 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r for r in catalog.QUERIES["duplicate_pair_features"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (0, 0), (1, 1), (2, 2), (3, 3)}
+    assert got[0, 1].f == pytest.approx([16.0, 16.0, 16.0, 1.0, 1.0] + [1.0] * 5) and got[1, 2].f is None
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         X.image_path(F.lit("abcdef")), X.unquoted(F.lit("a%20b+c")), X.file_stem(F.lit("/x/y.z/pic.tar.jpg")), X.url_safe_base64(F.lit("_-8=")),
