@@ -603,6 +603,28 @@ def match_inliers(spark, sf):
     return matching.matched(T.maps(spark, sf, False), _map_pairs(spark, sf)).select("a", "b", "n_matches")
 
 
+def _all_map_pairs(spark, sf) -> DataFrame:
+    return T.vectors(spark, sf).select(F.lit(0).cast("long").alias("a"), F.col("uid").alias("b"))
+
+
+@query()
+def mutual_matches_all(spark, sf):
+    """Cells of map 0 and of every map that are among each other's three nearest; ``mutual_matches`` and its SQL take the first 100 maps."""
+    return matching.mutual_matches(T.maps(spark, sf, False), _all_map_pairs(spark, sf))
+
+
+@query()
+def hough_votes_all(spark, sf):
+    """Votes of these candidates."""
+    return matching.hough_votes(matching.mutual_matches(T.maps(spark, sf, False), _all_map_pairs(spark, sf)))
+
+
+@query()
+def match_inliers_all(spark, sf):
+    """Inliers of the best model of map 0 with every map."""
+    return matching.matched(T.maps(spark, sf, False), _all_map_pairs(spark, sf)).select("a", "b", "n_matches")
+
+
 @query(f"""WITH {_E}, sh AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(v, {_v(0)}) DESC, vec_id) AS first FROM e),
     {_MODELS.replace("prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM embeddings WHERE vec_id < 100)", "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM sh WHERE first <= 60)")}
     SELECT CAST(row_number() OVER (ORDER BY n_matches DESC, first) AS INT) AS rank, b AS uid, CAST(n_matches AS DOUBLE) AS score FROM won JOIN sh ON vec_id = b ORDER BY n_matches DESC, first LIMIT 20""")

@@ -193,6 +193,24 @@ def test_matching_finds_identity_and_flip():
     assert matching.match(np.zeros((2, 2, 3)), m) == (0, (0.0, 0.0, 1.0, 1.0), (0.0, 0.0, 1.0, 1.0))
 
 
+def _embeddings(spark, path, n, seed=8):
+    x = np.random.default_rng(seed).standard_normal((n, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    spark.createDataFrame([(i, [float(t) for t in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return x.astype(float)
+
+
+def test_map_0_is_matched_with_every_map(spark, tmp_path):
+    maps = _embeddings(spark, tmp_path, 130).reshape(-1, 4, 4, 4)
+    points = {b: matching.candidates(maps[0], m) for b, m in enumerate(maps)}
+    got = [tuple(r) for r in catalog.QUERIES["mutual_matches_all"](spark, str(tmp_path)).select("a", "b", "y1", "x1", "y2", "x2").collect()]
+    assert sorted(got) == sorted((0, b, *p) for b, ps in points.items() for p in ps.tolist())
+    counted = {r.b: r.n_matches for r in catalog.QUERIES["match_inliers_all"](spark, str(tmp_path)).collect()}
+    assert counted == {b: int(matching.inliers(ps).sum()) for b, ps in points.items()} and len(counted) == 130
+    votes = {r.b for r in catalog.QUERIES["hough_votes_all"](spark, str(tmp_path)).collect()}
+    assert votes == {b for b, ps in points.items() if len(ps)} and max(votes) > 99
+
+
 def test_keypoint_features(spark):
     rng = np.random.default_rng(2)
     pts = rng.random((30, 2)) * 100
