@@ -564,6 +564,13 @@ def search_region(spark, sf):
     return out.select("rank", "uid", r6("score").alias("score"), "y", "x", "h", "w")
 
 
+@query()
+def search_region_full(spark, sf):
+    """The same over a shortlist as long as the reference's; ``search_region`` and its SQL take 200 rows."""
+    out = region.search_region(T.vectors(spark, sf), T.maps(spark, sf), 0, (0.0, 0.0, 0.5, 0.5), 50, max(region.SHORTLIST, 50))
+    return out.select("rank", "uid", r6("score").alias("score"), "y", "x", "h", "w")
+
+
 # --- matching ----------------------------------------------------------------------------------------------------
 
 _PAIRS = "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM embeddings WHERE vec_id < 100)"
@@ -634,6 +641,13 @@ def rerank(spark, sf):
     return matching.rerank(T.maps(spark, sf, False), 0, short, 20).select("rank", "uid", "score")
 
 
+@query()
+def rerank_full(spark, sf):
+    """The same over a shortlist as long as the reference's; ``rerank`` and its SQL take 60 rows."""
+    short = search.search(T.vectors(spark, sf), [0], k=max(region.SHORTLIST, 20))
+    return matching.rerank(T.maps(spark, sf, False), 0, short, 20).select("rank", "uid", "score")
+
+
 # --- classes -----------------------------------------------------------------------------------------------------
 
 

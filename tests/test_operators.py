@@ -211,6 +211,22 @@ def test_map_0_is_matched_with_every_map(spark, tmp_path):
     assert votes == {b for b, ps in points.items() if len(ps)} and max(votes) > 99
 
 
+def test_rows_past_a_short_list_can_win(spark, tmp_path):
+    x = _embeddings(spark, tmp_path, 400)
+    first = sorted(range(400), key=lambda i: (-round(float(x[i] @ x[0]), 12), i))
+    maps = x.reshape(-1, 4, 4, 4)
+    counted = {i: matching.match(maps[0], maps[i])[0] for i in range(400)}
+    want = sorted(first, key=lambda i: -counted[i])[:20]
+    assert [r.uid for r in catalog.QUERIES["rerank_full"](spark, str(tmp_path)).orderBy("rank").collect()] == want
+    assert not set(want) <= set(first[:60])
+    maps = np.maximum(maps, 0)
+    query = region.describe(region.integral_image(maps[0]), 0, 0, 2, 2)[0]
+    score = {i: region.best_window(maps[i], query, 1.0)[0] for i in range(400)}
+    want = sorted(range(400), key=lambda i: (-score[i], i))[:50]
+    assert [r.uid for r in catalog.QUERIES["search_region_full"](spark, str(tmp_path)).orderBy("rank").collect()] == want
+    assert not set(want) <= set(first[:200])
+
+
 def test_keypoint_features(spark):
     rng = np.random.default_rng(2)
     pts = rng.random((30, 2)) * 100
