@@ -473,6 +473,13 @@ def candidate_pairs(spark, sf):
     return mining.candidate_pairs(links, T.results(spark, sf, links))
 
 
+@query()
+def candidate_pairs_reranked(spark, sf):
+    """The same from searches reranked by inliers, as in the reference; ``candidate_pairs`` and its SQL take the first scores."""
+    links = T.links(spark, sf)
+    return mining.candidate_pairs(links, matching.rerank_many(T.maps(spark, sf, False), T.results(spark, sf, links, region.SHORTLIST), 21))
+
+
 @query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 2)
     SELECT a, b FROM p WHERE len(list_filter(range(1, 65), lambda k: NOT (abs(x[k]::DOUBLE - y[k]::DOUBLE) <= 1e-8 + 1e-5 * abs(y[k]::DOUBLE)))) > 0""")
 def near_identical_filter(spark, sf):

@@ -227,6 +227,21 @@ def test_rows_past_a_short_list_can_win(spark, tmp_path):
     assert not set(want) <= set(first[:200])
 
 
+def test_candidates_come_of_reranked_searches(spark):
+    m = np.random.default_rng(9).standard_normal((120, 64))
+    maps = spark.createDataFrame([(i, 4, 4, 4, [float(t) for t in v]) for i, v in enumerate(m)], "uid long, h int, w int, c int, data array<double>")
+    results = spark.createDataFrame([(q, r + 1, (q + r) % 120) for q in (3, 50) for r in range(120)], "query_id long, rank int, uid long")
+    found = matching.rerank_many(maps, results, 21)
+    got = {q: [r.uid for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] for q in (3, 50)}
+    for q in got:
+        counted = {i: matching.match(m[q].reshape(4, 4, 4), m[i].reshape(4, 4, 4))[0] for i in range(120)}
+        assert got[q] == sorted(((q + r) % 120 for r in range(120)), key=lambda i: -counted[i])[:21]
+    links = spark.createDataFrame([(3, 50, "POSITIVE")], "img1 long, img2 long, type string")
+    pairs_ = {(r.a, r.b) for r in mining.candidate_pairs(links, found).collect()}
+    assert pairs_ == {(min(q, u), max(q, u)) for q in got for u in got[q] if u != q}
+    assert pairs_ != {(r.a, r.b) for r in mining.candidate_pairs(links, results).collect()}
+
+
 def test_keypoint_features(spark):
     rng = np.random.default_rng(2)
     pts = rng.random((30, 2)) * 100
