@@ -716,7 +716,7 @@ def _duplicate_rows(spark, sf) -> DataFrame:
 def gbt_duplicates(spark, sf):
     """Scores of boosted trees on pair features, chosen by cross validation."""
     rows = T.materialize(_duplicate_rows(spark, sf), "pair-features")
-    return classes.duplicate_scores(classes.fit_duplicates(rows, 3, (2,), (5,)), rows).select("i", "j", r6("score").alias("score"))
+    return classes.duplicate_scores(classes.fit_duplicates(rows), rows).select("i", "j", r6("score").alias("score"))
 
 
 # --- keypoints ---------------------------------------------------------------------------------------------------

@@ -265,6 +265,21 @@ def test_features_of_pairs_of_different_images(spark, tmp_path):
     assert got[0, 1].f == pytest.approx([16.0, 16.0, 16.0, 1.0, 1.0] + [1.0] * 5) and got[1, 2].f is None
 
 
+def test_trees_are_chosen_over_the_whole_grid(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def validator(**given):
+        raise Asked(given["numFolds"], [{p.name: v for p, v in point.items()} for point in given["estimatorParamMaps"]])
+
+    rows = spark.createDataFrame([([1.0] * 10, 1.0)], "f array<double>, label double")
+    monkeypatch.setattr(catalog, "_duplicate_rows", lambda spark, sf: rows)
+    monkeypatch.setattr(classes, "CrossValidator", validator)
+    with pytest.raises(Asked) as asked:
+        catalog.QUERIES["gbt_duplicates"](spark, "")
+    assert asked.value.args == (10, [{"maxDepth": 2, "maxIter": 10}, {"maxDepth": 3, "maxIter": 10}])
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         X.image_path(F.lit("abcdef")), X.unquoted(F.lit("a%20b+c")), X.file_stem(F.lit("/x/y.z/pic.tar.jpg")), X.url_safe_base64(F.lit("_-8=")),
