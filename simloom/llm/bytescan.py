@@ -73,9 +73,15 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and start of each lower-cased word, in order."""
+    return word_spans(data, offsets)[:3]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document, start and end of each lower-cased word, in order."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     low = _LOWER[data]
     isword = _WORD[low]
     before = np.zeros(n, bool)
@@ -91,7 +97,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
     hashed = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashed, np.searchsorted(offsets, starts, "right") - 1, starts
+    return hashed, np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:

@@ -123,7 +123,7 @@ def test_repeats_against_brute_force(spark, gram, hot):
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(40)]
     texts += [rng.choice(texts) + rng.choice(texts) + rng.choice("xyz") + rng.choice(texts) for _ in range(40)] + texts[:5] + ["ab" * 50, "a" * 70, None, "", "é" * 40]
     docs = docs_of(spark, texts)
-    found = repeats.removals(docs, "text", 20, gram, hot)
+    found = repeats.removals(docs, "text", 20, gram, hot=hot)
     rows = docs.withColumn("id", repeats.text_id("text")).join(found, "id", "left").orderBy("doc_id").collect()
     for r, want, t in zip(rows, covered([(t or "").encode() for t in texts], 20), texts):
         assert (r.n_removed or 0, r.n_spans or 0, r.kept_sha256 or hashlib.sha256((t or "").encode()).hexdigest()) == want
@@ -132,6 +132,39 @@ def test_repeats_against_brute_force(spark, gram, hot):
     assert repeats.digests(docs.limit(0)).count() == 0
 
 
+def test_passages_of_words_against_brute_force(spark):
+    rng = random.Random(31)
+    make = lambda n: [rng.choice(["The", "of", "zé", "q1"]) for _ in range(n)]
+    lists = [make(rng.randint(0, 60)) for _ in range(30)]
+    lists += [make(5) + lists[k][:20] + make(3) + lists[-k][3:30] for k in range(1, 20)] + lists[:4]
+    texts = ["".join(w + rng.choice([" ", ", ", "\n- "]) for w in x) for x in lists] + [None, "", "!", "one"]
+    texts += texts[5:8]
+    n = Counter(tuple(words(t)[p : p + 8]) for t in texts for p in range(len(words(t)) - 7))
+    for hot in (1_000, 2):
+        docs = docs_of(spark, texts)
+        got = {r.id: r for r in repeats.removals(docs, "text", 8, 3, repeats.WORDS, hot, keep_text=True).collect()}
+        for r in docs.select("doc_id", repeats.text_id("text").alias("id")).collect():
+            t = texts[r.doc_id] or ""
+            at = [m.span() for m in WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), t))]
+            hit = set()
+            for p in range(len(at) - 7):
+                if n[tuple(words(t)[p : p + 8])] > 1:
+                    hit |= set(range(p, p + 8))
+            kept, gone, last = t, 0, None
+            for p in sorted(hit, reverse=True):
+                end = at[p][1] if last != p + 1 else at[p + 1][0]
+                kept, gone, last = kept[: at[p][0]] + kept[end:], gone + len(t[at[p][0] : end].encode()), p
+            x = got.get(r.id)
+            assert (x.kept, x.n_removed) == (kept, gone) if x else not hit
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    rows = [(1, "abcdefghij" * 3, "a", "b", "c", 5), (1, "xabcdefghij" * 3, "a", None, "c", 6), (None, None, None, None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, _id string, kept string, row int")
+    cut = repeats.without_repeats(docs, length=12)
+    assert cut.columns == docs.columns and {r.row for r in cut.collect()} == {5, 6, 7} and {r.kept for r in cut.collect()} == {"c", None}
+
+
 # --- near copies ---
 
 
