@@ -30,8 +30,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the bytes of repeated 400-byte strings out of the texts, at whole characters; n_chars follows."""
-    kept = repeats.without_repeats(docs)
+    """Cut passages of over 50 words that occur elsewhere out of the texts; n_chars follows."""
+    kept = repeats.without_repeats(docs, length=repeats.PASSAGE, gram=repeats.PASSAGE_GRAM, unit=repeats.WORDS)
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 

@@ -7,6 +7,7 @@ it, and it outlives a lost executor.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,15 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none."""
+    """The shared folder that the session names.
+
+    Where it names none, a session of one machine gets a temporary folder; on a
+    cluster that would part the data over the machines, so it is an error there.
+    """
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} is not set: it must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="simloom-")
         spark.conf.set(SETTING, root)
         drop_at_exit(spark, root)
@@ -51,4 +58,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_written_to"] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that no later plan reads."""
+    for table in tables:
+        drop(table.sparkSession, table.__dict__["_written_to"])
