@@ -15,14 +15,16 @@ one shingle; a text without words is like no other.
 2. Texts of equal word sequences are one row, so copies are never compared.
 3. Registers are cut into bands; rows that agree on a band meet in a bucket.
    Each member is paired with the least member of its bucket, and the pair is
-   verified exactly. Members are never all paired within a bucket.
+   verified exactly on the texts. Members are never all paired within a bucket; the
+   partners of a row are dealt to chunks, which are read as streams.
 4. Where that leaves a set of rows that buckets connect in more than one class, rows of
    different classes are compared in blocks, by registers and then exactly, so that no link
    between two different texts that share a bucket is lost.
 5. Classes are the connected components of the verified links.
 
 At the similarity sought, 32 bands of 5 registers miss a pair with a probability of 3e-6.
-Null keys and repeated rows are harmless: rows with one key share a class.
+Rows are numbered when they are signed, so rows that share a key but not the text are told
+apart. A null text has no words. Repeated rows share a class. Rows without a key are alone.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.functions.workspace import materialize
+from simloom.functions.workspace import materialize, release
 from simloom.llm.bytescan import mix, slices, utf8, words
 from simloom.operators.components import connected_components
 
@@ -44,6 +46,8 @@ REGISTERS = BANDS * ROWS
 #: Rows compared with each other at once, and the distance below the similarity at
 #: which an estimate from the registers rules a pair out: over four standard deviations.
 BLOCK, MARGIN = 512, 0.14
+#: Words of the rows of a block, and partners of a row that one task compares with it.
+BLOCK_WORDS, CHUNK = 1 << 20, 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,24 +138,31 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
+def _digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of words of each text, and two hashes of its word sequence."""
+    n = len(offsets) - 1
+    hashed, doc, _ = words(data, offsets)
+    count = np.bincount(doc, minlength=n)
+    place = np.arange(len(hashed)) - np.repeat(np.cumsum(count) - count, count)
+    same = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
+    for k, x in enumerate(same):
+        np.add.at(x, doc, mix(hashed + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)))
+    return count, same
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) come in; key, number of words, digest of the words and registers go out."""
+    """(key, digest, text) come in; key, digest, number of words, hashes of the words and registers go out."""
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(2))
         for i, j in slices(offsets):
             for a in range(i, j, 2_000):
                 b = min(j, a + 2_000)
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                hashed, doc, _ = words(part, at)
-                count = np.bincount(doc, minlength=b - a)
-                place = np.arange(len(hashed)) - np.repeat(np.cumsum(count) - count, count)
-                same = [np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)]
-                for k, x in enumerate(same):
-                    np.add.at(x, doc, mix(hashed + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)))
+                count, same = _digests(part, at)
                 marks = registers(b - a, *shingles(part, at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(count.astype(np.int64)), pa.array(same[0].view(np.int64)), pa.array(same[1].view(np.int64)), pa.array([m.tobytes() for m in marks], pa.binary())],
-                    names=["key", "words", "s1", "s2", "marks"],
+                    [*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(count.astype(np.int64)), pa.array(same[0].view(np.int64)), pa.array(same[1].view(np.int64)), pa.array([m.tobytes() for m in marks], pa.binary())],
+                    names=["key", "digest", "words", "s1", "s2", "marks"],
                 )
 
 
@@ -168,37 +179,48 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(bucket.reshape(-1).view(np.int64))], names=["row", "bucket"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) come in; the row with its shingles and counts as binaries goes out."""
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        for i, j in slices(offsets):
-            doc, item, count = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            cut = np.searchsorted(doc, np.arange(j - i + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([item[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                names=["row", "items", "counts"],
-            )
-
-
-def _set(items: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(items, np.uint64), np.frombuffer(counts, np.uint32)
+def _sets(array: pa.Array) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """First hash of the words, and hashes and counts of the shingles, of each text."""
+    data, offsets = utf8(array)
+    for i, j in slices(offsets):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        s1 = _digests(part, at)[1][0].view(np.int64)
+        doc, item, count = shingles(part, at)
+        cut = np.searchsorted(doc, np.arange(j - i + 1))
+        for k in range(j - i):
+            yield s1[k], (item[cut[k] : cut[k + 1]], count[cut[k] : cut[k + 1]])
 
 
 def _verify(similarity: float):
-    """Rows (a, b, items, counts of a and of b) come in; similar pairs go out."""
+    """Rows (a, chunk, b, text) come in, of each a and chunk first a's own, whose b is a; similar pairs go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                a, b, *sets = (batch.column(k).slice(start, 500).to_pylist() for k in range(6))
-                good = [probability_jaccard(_set(i, c), _set(j, d)) >= similarity for i, c, j, d in zip(*sets, strict=True)]
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(keep)
+            out: tuple[list[int], list[int]] = ([], [])
+            a, chunk, b = (batch.column(k).to_pylist() for k in range(3))
+            for x, c, y, (_, found) in zip(a, chunk, b, _sets(batch.column(3)), strict=True):
+                if x == y:
+                    at, own = (x, c), found
+                elif at == (x, c) and probability_jaccard(own, found) >= similarity:
+                    out[0].append(x)
+                    out[1].append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, s1, text, a, chunk) come in; those whose text has the hash s1 go out, without it."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(2))
+        fits = [np.zeros(0, bool)]
+        for i, j in slices(offsets):
+            s1 = _digests(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1][0].view(np.int64)
+            fits.append(s1 == batch.column(1).slice(i, j - i).to_numpy())
+        yield batch.select([0, 2, 3, 4]).filter(pa.array(np.concatenate(fits)))
+
+
 def _compare_blocks(similarity: float, margin: float):
     """A pair of blocks of rows comes in; links that join rows of different classes go out."""
 
@@ -206,7 +228,7 @@ def _compare_blocks(similarity: float, margin: float):
         table = table.sort_by("row")
         row, cls, block = (table[c].to_numpy() for c in ("row", "class", "block"))
         marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint32).reshape(len(row), -1)
-        sets = [_set(i, c) for i, c in zip(table["items"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+        sets = [found for _, found in _sets(table["text"].combine_chunks())]
         root = {c: c for c in set(cls.tolist())}
 
         def find(x: int) -> int:
@@ -233,51 +255,82 @@ def _compare_blocks(similarity: float, margin: float):
     return run
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(key, class_id, words): the least key of the documents that each one is linked with, itself included.
-
-    One row for each row of ``docs``. A row without a key is alone: its class is null.
-    """
-    pairs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    signed = materialize(pairs.mapInArrow(_sign, "key long, words long, s1 long, s2 long, marks binary"), "signed")
-    known = signed.where(F.col("key").isNotNull())
-    same = known.where("words > 0").groupBy("s1", "s2", "words").agg(F.min("key").alias("row"))
-    copies = materialize(known.select("key", "words", "s1", "s2").join(same, ["s1", "s2", "words"], "left").select("key", "words", F.coalesce("row", "key").alias("row")), "copies")
-    rows = known.where("words > 0").join(same.select(F.col("row").alias("key"), "s1", "s2"), ["key", "s1", "s2"], "left_semi").select(F.col("key").alias("row"), "marks").dropDuplicates(["row"])
-
-    met = rows.mapInArrow(_bands, "row long, bucket long")
+def _classed(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (key, digest, words, id, row) and the classes (row, class_row) of those that are linked; ``row`` is the least id of the copies."""
+    pairs = docs.select(F.col(key).cast("long").alias("key"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    signed = pairs.mapInArrow(_sign, "key long, digest binary, words long, s1 long, s2 long, marks binary").withColumn("id", F.monotonically_increasing_id())
+    signed = materialize(signed, "signed")
+    known = signed.where("key is not null and words > 0")
+    # as a table of its own, so that the join with it can split a hot text
+    same = materialize(known.groupBy("s1", "s2", "words").agg(F.min("id").alias("row"), F.count("*").alias("n")), "same")
+    several = same.where("n > 1").select("s1", "s2", "words", "row")
+    copies = known.select("key", "digest", "words", "id", "s1", "s2").join(several, ["s1", "s2", "words"], "left").select("key", "digest", "words", "id", F.coalesce("row", "id").alias("row"))
+    copies = copies.unionByName(signed.where("key is null or words = 0").select("key", "digest", "words", "id", F.col("id").alias("row")))
+    copies = materialize(copies, "copies")
+
+    met = signed.select("id", "marks").join(same.select(F.col("row").alias("id")), "id", "left_semi").mapInArrow(_bands, "row long, bucket long")
     full = met.groupBy("bucket").agg(F.min("row").alias("a"), F.max("row").alias("last")).where("a < last").select("bucket", "a")
     stars = materialize(met.join(full, "bucket").where("row > a").select("a", F.col("row").alias("b")).distinct(), "stars")
 
-    sought = stars.select(F.col("a").alias("row")).unionByName(stars.select(F.col("b").alias("row"))).distinct()
-    held = pairs.where(F.col("key").isNotNull()).withColumnRenamed("key", "row").join(sought, "row", "left_semi").dropDuplicates(["row"]).mapInArrow(_sets, "row long, items binary, counts binary")
-    held = materialize(held, "sets")
-    one = held.select(F.col("row").alias("a"), F.col("items").alias("i"), F.col("counts").alias("c"))
-    two = held.select(F.col("row").alias("b"), F.col("items").alias("j"), F.col("counts").alias("d"))
-    checked = stars.join(two, "b").join(one, "a").select("a", "b", "i", "c", "j", "d")
-    links = materialize(checked.mapInArrow(_verify(similarity), "a long, b long"), "links")
+    chunks = materialize(stars.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
+    dealt = stars.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.col("b").alias("id"))
+    dealt = dealt.unionByName(chunks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("id")))
+    named = dealt.join(signed.select("id", "key", "s1"), "id").select("id", "s1", "key", "a", "chunk")
+    held = named.join(pairs.select("key", "text"), "key").select(F.col("id").alias("row"), "s1", "text", "a", "chunk")
+    held = materialize(held.mapInArrow(_own_texts, "row long, text string, a long, chunk long"), "star-texts")
+    ordered = held.select("a", "chunk", "row", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "row")  # a is less than each b
+    links = materialize(ordered.mapInArrow(_verify(similarity), "a long, b long").distinct(), "links")
 
     wide = connected_components(stars).select(F.col("node").alias("row"), F.col("component").alias("wide"))
     narrow = connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("class"))
-    split = materialize(wide.join(narrow, "row", "left").withColumn("class", F.coalesce("class", "row")), "split")
-    open_sets = split.groupBy("wide").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("wide", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    blocked = split.join(open_sets, "wide").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    mine = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high"))))
-    dealt = blocked.withColumn("p", mine).select("wide", "row", "class", "block", F.col("p.low").alias("low"), F.col("p.high").alias("high"), F.xxhash64("wide", "p.low", "p.high").alias("deal"))
-    dealt = dealt.join(rows, "row").join(held, "row").select("deal", "wide", "low", "high", "row", "class", "block", "marks", "items", "counts")
-    more = dealt.groupBy("deal", "wide", "low", "high").applyInArrow(_compare_blocks(similarity, MARGIN), "a long, b long")
+    split = wide.join(narrow, "row", "left").withColumn("class", F.coalesce("class", "row"))
+    split = materialize(split.join(copies.where("id = row").select("row", "words"), "row"), "split")
+    least = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS))
+    open_sets = split.groupBy("wide").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"), least.alias("blocks")).where("x < y and n > 2").select("wide", "blocks")
+    blocked = materialize(split.join(open_sets, "wide").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))), "blocked")
+    more = []
+    if not blocked.isEmpty():
+        ours = blocked.join(signed.select(F.col("id").alias("row"), "marks"), "row")
+        texts = held.join(blocked.select("row"), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+        mine = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high"))))
+        dealt = ours.join(texts, "row").withColumn("p", mine).select(F.xxhash64("wide", "p.low", "p.high").alias("deal"), "wide", "p.low", "p.high", "row", "class", "block", "marks", "text")
+        more.append(materialize(dealt.groupBy("deal", "wide", "low", "high").applyInArrow(_compare_blocks(similarity, MARGIN), "a long, b long"), "more-links"))
+    release(held, signed, same, chunks, split, blocked)
+    for x in more:
+        links = links.unionByName(x)
+    return copies, connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("class_row"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _placed(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(key, digest, words, class_row) of each row, and (class_row, first: the least key and digest) of each class."""
+    copies, linked = _classed(docs, key, text, similarity)
+    linked = materialize(linked, "linked")  # as a table of its own, so that the join with it can split a hot row
+    placed = materialize(copies.join(linked, "row", "left").select("key", "digest", "words", F.coalesce("class_row", "row").alias("class_row")), "placed")
+    release(copies)
+    return placed, materialize(placed.groupBy("class_row").agg(F.min(F.struct("key", "digest")).alias("first")), "classes")
+
 
-    final = connected_components(links.unionByName(more)).select(F.col("node").alias("row"), F.col("component").alias("class_id"))
-    placed = copies.join(final, "row", "left").select("key", F.coalesce("class_id", "row").alias("class_id"), "words")
-    alone = signed.where(F.col("key").isNull()).select("key", F.lit(None).cast("long").alias("class_id"), "words")
-    return placed.unionByName(alone).withColumnRenamed("key", key)
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(key, class_id, words): the least key of the documents that each one is linked with, itself included.
+
+    One row for each row of ``docs``. A row without a key is alone: its class is null.
+    """
+    placed, firsts = _placed(docs, key, text, similarity)
+    return placed.join(firsts, "class_row").select(F.col("key").alias(key), F.col("first.key").alias("class_id"), "words")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose key is the class of their document, and those without a key.
+    """The rows of ``docs`` that are the first of their class, and those without a key.
 
-    Of rows with one key only one stays.
+    First is the least key; of rows with one key in one class, the least digest of the
+    text. Of equal rows one stays.
     """
-    kept = classes(docs, key, text, similarity).where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_key")).distinct()
-    chosen = docs.join(kept, docs[key] == kept["_key"], "left_semi")
-    return chosen.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    _, firsts = _placed(docs.where(F.col(key).isNotNull()), key, text, similarity)
+    kept = firsts.select(F.col("first.key").alias("k"), F.col("first.digest").alias("d"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), _digest(text).alias("d"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    chosen = rows.where("k is not null").join(kept, ["k", "d"], "left_semi").groupBy("k", "d").agg(F.first("row").alias("row"))
+    return chosen.select("row.*").unionByName(docs.where(F.col(key).isNull()))

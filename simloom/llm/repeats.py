@@ -515,20 +515,24 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     mixed = groups.join(several.select("key"), "key", "left_semi").select("one.id", F.struct("key", "one.place", "one.low", "one.high", "n").alias("x"))
     mixed = mixed.groupBy("id").agg(F.collect_list("x").alias("xs"))
     strings = materialize(texts.select("id", "text").join(mixed, "id").mapInArrow(_strings(length, gram, unit), _STRING), "strings")
-    runs = [whole]
+    runs = [materialize(whole, "whole")]
+    release(members, groups)
     while True:
         kinds = strings.groupBy("key").agg(F.count("*").alias("kinds"))
         large = materialize(kinds.where(F.col("kinds") > hot).select("key"), "large-keys")
         few = strings.join(large, "key", "left_anti")
-        runs.append(few.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_keys(length, gram, unit), "id binary, start long, end long"))
+        runs.append(materialize(few.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_keys(length, gram, unit), "id binary, start long, end long"), "sorted"))
         if large.isEmpty():
+            release(strings)
             break
         halves = materialize(strings.join(large, "key", "left_semi").mapInArrow(_halves(length, unit), _STRING + ", around long"), "halves")
         groups = halves.groupBy("key", "around").agg(F.sum("n").alias("total"), F.min(F.struct("id", "place", "low", "high", "floor", "ceiling", "left", "right")).alias("one"))
         groups = materialize(groups, "half-groups")
         runs.append(_runs_of(halves.where("n = 1").join(groups.where("total > 1").select("key", "around"), ["key", "around"], "left_semi")))
         several = groups.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+        last = [strings, large]
         strings = materialize(groups.join(several, "key", "left_semi").select("key", "one.*", F.col("total").alias("n")).select(*_STRING_NAMED), "strings")
+        release(*last)
     out = runs[0]
     for more in runs[1:]:
         out = out.unionByName(more)

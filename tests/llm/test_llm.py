@@ -218,11 +218,24 @@ def test_near_copy_classes_against_brute_force(spark, monkeypatch):
                 root[max(a, b)] = min(a, b)
     docs = docs_of(spark, texts)
     assert {r.doc_id: r.class_id for r in nearcopies.classes(docs).collect()} == {i: find(i) for i in range(len(texts))}
+    monkeypatch.setattr(nearcopies, "CHUNK", 3)
     kept = nearcopies.keep_one(docs.unionByName(docs.limit(3)))
     assert {r.doc_id for r in kept.collect()} == {find(i) for i in range(len(texts))} and kept.count() == len({find(i) for i in range(len(texts))})
     assert nearcopies.classes(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_rows_that_share_a_key(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long, 1, "a"), (1, "other words altogether, of another text", 2, "b"), (2, long + " end", 3, "c"), (None, long, 4, "d"), (None, long, 5, "e"), (3, None, 6, "f"), (3, None, 7, "f"), (3, "", 8, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, row string")
+    got = nearcopies.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = {r.k for r in got.collect()}
+    assert kept >= {1, 2, 4, 5} and 3 not in kept and len(kept & {6, 7, 8}) == 1
+    found = sorted((r.doc_id, r.class_id) for r in nearcopies.classes(docs).where("doc_id is not null").collect())
+    assert found == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (3, 3)] and nearcopies.classes(docs).count() == len(rows)
+
+
 # --- decontamination ---
 
 
