@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.functions.workspace import materialize
+from simloom.functions.workspace import materialize, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
         after = small.select("u", "v").unionByName(small.select(F.col("w").alias("u"), "v")).where("u <> v").distinct()
-        now = materialize(after, "edges")
+        last, now = now, materialize(after, "edges")
+        release(last)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == before:
             break
