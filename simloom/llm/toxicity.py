@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from simloom.functions.workspace import materialize
 from simloom.llm.bytescan import mix, powers, slices, utf8
+from simloom.llm.columns import others
 
 #: Symbols of the language model: 0 is the edge of a word, 1-26 are a-z, 27 is any other letter.
 SYMBOLS, ORDER = 28, 4
-#: Most labelled texts that the classifier is fitted on, and most entries of its lexicon.
-SAMPLE, LEXICON = 8_000, 20_000
+#: Most labelled texts that the classifier is fitted on.
+SAMPLE = 8_000
 #: Parts that the sample's texts are dealt to.
 PIECES = 8
 
@@ -203,8 +204,8 @@ class Decoder:
         head = re.match(r"[^\w@$!|+(<*]*", span).end()
         tail = len(span) - re.match(r"[^\w@$|+]*", span[::-1]).end()
         tail = max(head, tail)
-        # state: the last three symbols and the last character kept; value: cost and letters since the last commitment
-        states: dict[tuple[int, str], tuple[float, str]] = {(0, ""): (0.0, "")}
+        # state: the last three symbols, on which alone the rest depends; value: cost and letters since the last commitment
+        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
         previous, sure = "", []
         for n, c in enumerate(span[head:tail], 1):
             moves: list[tuple[str, float]] = []  # letters put out, cost
@@ -220,28 +221,26 @@ class Decoder:
                 moves = [("", COST_DROP_BETWEEN)]
             else:
                 moves = [("", COST_DROP_SYMBOL)]
-            reached: dict[tuple[int, str], tuple[float, str]] = {}
-            for (context, last), (cost, out) in states.items():
+            reached: dict[int, tuple[float, str]] = {}
+            for context, (cost, out) in states.items():
                 for x, extra in moves:
                     if x:
                         s = ord(x) - 96 if "a" <= x <= "z" else 27
                         code = context * SYMBOLS + s
-                        key, value = (code % SYMBOLS**3, x), (cost + extra + self.cost[code], out + x)
+                        key, value = code % SYMBOLS**3, (cost + extra + self.cost[code], out + x)
                     else:
-                        key, value = (context, last), (cost + extra, out)
+                        key, value = context, (cost + extra, out)
                     if key not in reached or value < reached[key]:
                         reached[key] = value
                 if c in BETWEEN and context:  # the separator may also part two words
-                    key, value = (0, ""), (cost + COST_PART + self.cost[context * SYMBOLS], out + " ")
+                    key, value = 0, (cost + COST_PART + self.cost[context * SYMBOLS], out + " ")
                     if key not in reached or value < reached[key]:
                         reached[key] = value
             states, previous = reached, c
-            if len(states) > 64:
-                states = dict(sorted(states.items(), key=lambda x: x[1])[:64])
             if n % COMMIT == 0 and (agreed := os.path.commonprefix([out for _, out in states.values()])):
                 sure.append(agreed)
                 states = {key: (cost, out[len(agreed) :]) for key, (cost, out) in states.items()}
-        done = min((cost + (self.cost[context * SYMBOLS] if context else 0.0), out) for (context, _), (cost, out) in states.items())
+        done = min((cost + (self.cost[context * SYMBOLS] if context else 0.0), out) for context, (cost, out) in states.items())
         return span[:head] + "".join(sure) + done[1] + span[tail:]
 
 
@@ -350,6 +349,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 5
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Classifier:
     """Fit the classifier on at most ``sample`` labelled texts.
 
+    The lexicon takes every word and word beginning of the sample that is marked: in at
+    least four toxic texts, and e**1.5 times as frequent as in the others, by four
+    standard deviations.
+
     The sample takes the keys of least hash, a quarter of which is kept for the
     regression and the rest for the lexicon. The keys of the sample, of a bound
     number, are broadcast, so the texts are not shuffled by key: one pass over the
@@ -397,17 +400,15 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_i
 
     early = texts.where(~F.col("_late"))
     sums = early.mapInArrow(count, "feature long, c0 long, c1 long, d0 long, d1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "d0", "d1")))
-    kept = sums.where((F.col("feature") == 0) | (F.col("d1") >= 4))
-    sums_at = kept.orderBy(F.when(F.col("feature") == 0, 0).otherwise(1), F.desc(F.col("c1") / (F.col("c0") + 1.0)), "feature").limit(LEXICON * 4).toArrow()
-    feature, c0, c1 = (sums_at[c].to_numpy() for c in ("feature", "c0", "c1"))
-    n0, n1 = max(1, int(c0[feature == 0].sum())), max(1, int(c1[feature == 0].sum()))
-    r0 = (c0 + 0.5) / n0
-    ratio = np.log((c1 + 0.5) / n1) - np.log(r0)
-    marked = (feature != 0) & (ratio >= 1.5) & ((c1 - n1 * r0) / np.sqrt(n1 * r0 + 1) >= 4)
-    best = np.flatnonzero(marked)[np.argsort(-ratio[marked], kind="stable")[:LEXICON]]
-    hashes = feature[best].view(np.uint64)
+    sums = materialize(sums, "features")
+    n0, n1 = (max(1, x or 0) for x in sums.where("feature = 0").agg(F.sum("c0"), F.sum("c1")).first())
+    r0 = (F.col("c0") + 0.5) / F.lit(float(n0))
+    ratio = F.log((F.col("c1") + 0.5) / F.lit(float(n1))) - F.log(r0)
+    marked = (F.col("d1") >= 4) & (ratio >= 1.5) & ((F.col("c1") - n1 * r0) / F.sqrt(n1 * r0 + 1) >= 4)
+    lexicon = sums.where((F.col("feature") != 0) & marked).select("feature", ratio.alias("ratio")).toArrow()
+    hashes, ratios = lexicon["feature"].to_numpy().view(np.uint64), lexicon["ratio"].to_numpy()
     order = np.argsort(hashes)
-    out = Classifier(hashes[order], ratio[best][order], np.array([0.0, 0.0, 0.0, -10.0]))
+    out = Classifier(hashes[order], ratios[order], np.array([0.0, 0.0, 0.0, -10.0]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
@@ -425,10 +426,11 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_i
 
 
 def score(docs: DataFrame, model: np.ndarray, classifier: Classifier, text: str = "text", into: str = "score") -> DataFrame:
-    """Replace ``text`` by ``into``: the probability that it is toxic, 0 to 1."""
-    at = docs.columns.index(text)
-    others = [c for c in docs.columns if c != text]
-    frame = docs.select(*others, F.lit(0.0).alias(into))
+    """Replace ``text`` by ``into``: the probability that it is toxic, 0 to 1. A column of that name is replaced."""
+    kept = others(docs, text, into)
+    docs = docs.select(*(F.col(f"`{c}`") for c in [*kept, text]))
+    at = len(kept)
+    frame = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias(into))
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
