@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.llm.bytescan import mix, slices, utf8
+from simloom.llm.columns import others
 
 #: Length of the longest n-gram and of a profile.
 LONGEST, TOP = 3, 400
@@ -90,11 +91,15 @@ def ranks(doc: np.ndarray, counts: np.ndarray, top: int = TOP) -> tuple[np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     most = np.int64((1 << 20) - 1)
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    begin = np.repeat(starts, np.diff(np.append(starts, len(doc))))
-    key = (doc.astype(np.uint64) << np.uint64(48)) | ((most - np.minimum(counts, most)).astype(np.uint64) << np.uint64(28)) | (np.arange(len(doc)) - begin).astype(np.uint64)
-    key.sort()
+    sizes = np.diff(np.append(starts, len(doc)))
+    begin = np.repeat(starts, sizes)
     rank = np.arange(len(doc)) - begin
-    index = (key & np.uint64((1 << 28) - 1)).astype(np.int64) + begin
+    if counts.max() <= most and sizes.max() < 1 << 28 and doc[-1] < 1 << 16:  # document, count and place fit one number, which sorts faster
+        key = (doc.astype(np.uint64) << np.uint64(48)) | ((most - counts).astype(np.uint64) << np.uint64(28)) | rank.astype(np.uint64)
+        key.sort()
+        index = (key & np.uint64((1 << 28) - 1)).astype(np.int64) + begin
+    else:
+        index = np.lexsort((-counts, doc))
     at = rank < top
     return index[at], rank[at]
 
@@ -183,14 +188,15 @@ class Profiles:
 
 
 def identify(docs: DataFrame, learned: DataFrame, text: str = "text", top: int = TOP, longest: int = LONGEST) -> DataFrame:
-    """Replace ``text`` by lang_pred and score; ``learned`` are profiles().
+    """Replace ``text`` by lang_pred and score; ``learned`` are profiles(). Columns that have these names are replaced.
 
     Profiles are collected: at most MAX_LANGUAGES times ``top`` rows.
     """
     table = Profiles([tuple(r) for r in learned.limit(MAX_LANGUAGES * top + 1).collect()], top)
-    at = docs.columns.index(text)
-    others = [c for c in docs.columns if c != text]
-    frame = docs.select(*others, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
+    kept = others(docs, text, "lang_pred", "score")
+    docs = docs.select(*(F.col(f"`{c}`") for c in [*kept, text]))
+    at = len(kept)
+    frame = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
