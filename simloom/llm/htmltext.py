@@ -9,13 +9,15 @@ lines, paragraphs and headings stand apart, list items carry their marks and
 indents, preformatted text keeps its lines, and the cells of a table stand in
 aligned columns.
 
-A null page is an empty text. Elements nested deeper than DEEPEST are taken as
-siblings. Rows may repeat.
+A null page is an empty text. Elements may be nested to any depth: neither the tree
+builder nor the renderer recurses. Indents beyond WIDEST columns are drawn as WIDEST,
+which keeps the text of nested lists in proportion to the page. Rows may repeat.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,7 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 150
+from simloom.llm.columns import others
+
+#: Columns of the widest indent.
+WIDEST = 160
+# The most columns and rows that a table cell may span in HTML.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Stands for a line break while a line is gathered.
 BREAK = "\u2028"
 
@@ -53,6 +60,24 @@ _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", r
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+class Open(list):
+    """The open elements, outermost first, with a count of each tag."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.tags = Counter([root.tag])
+
+    def put(self, element: Element) -> None:
+        self.append(element)
+        self.tags[element.tag] += 1
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all inside it."""
+        for e in self[k:]:
+            self.tags[e.tag] -= 1
+        del self[k:]
+
+
 class Element:
     """A tag with its attributes and children, which are elements or strings."""
 
@@ -65,7 +90,7 @@ class Element:
 def parse(html: str) -> tuple[Element, list[str]]:
     """The tree of a page, and the texts of its style sheets."""
     root = Element("html")
-    stack, sheets, at = [root], [], 0
+    stack, sheets, at = Open(root), [], 0
     while at < len(html):
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else len(html)]
@@ -81,7 +106,7 @@ def parse(html: str) -> tuple[Element, list[str]]:
         elif m["start"]:
             tag, attrs = m["start"].lower(), m["attrs"]
             values = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip(" /\n\t") else {}
-            if tag in ("html", "body") and any(e.tag == tag for e in stack):
+            if tag in ("html", "body") and stack.tags[tag]:
                 continue
             element = Element(tag, values)
             _start(stack, tag)
@@ -93,51 +118,51 @@ def parse(html: str) -> tuple[Element, list[str]]:
                 element.children.append(unescape(body) if tag in ("textarea", "title") else body)
                 if tag == "style":
                     sheets.append(body)
-            elif tag not in VOID and len(stack) < DEEPEST:
-                stack.append(element)
+            elif tag not in VOID:
+                stack.put(element)
     return root, sheets
 
 
-def _start(stack: list[Element], tag: str) -> None:
+def _start(stack: Open, tag: str) -> None:
     """Close what a start tag implies closed, open what it implies open."""
-    if tag in CLOSES_P:
+    if tag in CLOSES_P and stack.tags["p"]:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == "p":
-                del stack[k:]
+                stack.cut(k)
                 break
             if stack[k].tag in ("table", "td", "th", "button", "caption"):
                 break
     if tag in _CLOSERS:
         ends, scope = _CLOSERS[tag]
         cut = None
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(stack.tags[t] for t in ends) else ():
             if stack[k].tag in scope:
                 break
             if stack[k].tag in ends:
                 cut = k
         if cut is not None:
-            del stack[cut:]
+            stack.cut(cut)
     elif tag in CLOSES_P or tag == "a":
-        if tag == "a" and any(e.tag == "a" for e in stack[-8:]):
+        if tag == "a" and stack.tags["a"]:
             _end(stack, "a")
         if stack[-1].tag == "head" and tag != "head":
-            stack.pop()
+            stack.cut(len(stack) - 1)
     if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
         row = Element("tr")
         stack[-1].children.append(row)
-        stack.append(row)
+        stack.put(row)
 
 
-def _end(stack: list[Element], tag: str) -> None:
-    if tag == "p" and all(e.tag != "p" for e in stack):
+def _end(stack: Open, tag: str) -> None:
+    if tag == "p" and not stack.tags["p"]:
         stack[-1].children.append(Element("p"))
         return
     if tag == "br":
         stack[-1].children.append(Element("br"))
         return
-    for k in range(len(stack) - 1, 0, -1):
+    for k in range(len(stack) - 1, 0, -1) if stack.tags[tag] else ():
         if stack[k].tag == tag:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html"):
             return
@@ -173,8 +198,19 @@ def visible(e: Element, hidden: set[tuple[str, str]]) -> bool:
     return True
 
 
+def drive(task: Iterator) -> None:
+    """Run a task that yields the tasks to be run before it goes on."""
+    stack = [task]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
 class Page:
-    """Sets out a tree as lines."""
+    """Sets out a tree as lines. Methods that may go deeper are tasks for ``drive``."""
 
     def __init__(self, hidden: set[tuple[str, str]]):
         self.hidden = hidden
@@ -196,9 +232,9 @@ class Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        lead = self.indent
+        lead = self.indent[-WIDEST:]
         if self.mark:
-            lead = self.indent[: len(self.indent) - len(self.mark)] + self.mark
+            lead = self.indent[: len(self.indent) - len(self.mark)][-WIDEST:] + self.mark
             self.mark = ""
         self.lines.append((lead + line).rstrip())
 
@@ -208,7 +244,7 @@ class Page:
         if tag in SPACED and not self.mark:
             self.gap = True
 
-    def show(self, e: Element) -> None:
+    def show(self, e: Element) -> Iterator:
         """Set out an element."""
         tag = e.tag
         if not visible(e, self.hidden):
@@ -227,7 +263,7 @@ class Page:
             self.gap = True
         elif tag == "table":
             self.block(tag)
-            self.table(e)
+            yield self.table(e)
             self.gap = True
         elif tag in ("ul", "ol", "menu", "dir"):
             nested = bool(self.indent)
@@ -242,63 +278,72 @@ class Page:
                     number += 1
                     outer = self.indent
                     self.indent, self.mark = outer + " " * len(mark), mark
-                    self.fill(c)
+                    yield self.fill(c)
                     self.flush()
                     if self.mark:
                         self.put("")
                     self.indent = outer
+                elif isinstance(c, str):
+                    self.inline.append(c.replace(BREAK, " "))
                 else:
-                    self.child(c)
+                    yield self.show(c)
             self.flush()
             if not nested:
                 self.gap = True
         elif tag in ("dd", "blockquote"):
             self.block(tag)
             outer, self.indent = self.indent, self.indent + "    "
-            self.fill(e)
+            yield self.fill(e)
             self.block(tag)
             self.indent = outer
         elif tag in BLOCKS:
             self.block(tag)
-            self.fill(e)
+            yield self.fill(e)
             self.block(tag)
         elif tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
             self.flush()
-            self.fill(e)
+            yield self.fill(e)
             self.flush()
         else:
-            self.fill(e)
+            yield self.fill(e)
 
-    def fill(self, e: Element) -> None:
+    def fill(self, e: Element) -> Iterator:
         for c in e.children:
-            self.child(c)
-
-    def child(self, c) -> None:
-        if isinstance(c, str):
-            self.inline.append(c.replace(BREAK, " "))
-        else:
-            self.show(c)
+            if isinstance(c, str):
+                self.inline.append(c.replace(BREAK, " "))
+            else:
+                yield self.show(c)
 
     def plain(self, e: Element) -> str:
         """The text of an element with its white space."""
-        return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else self.plain(c) if visible(c, self.hidden) else "" for c in e.children)
-
-    def cell(self, e: Element) -> list[str]:
+        out, due = [], [e]
+        while due:
+            c = due.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag == "br":
+                out.append("\n")
+            elif c is e or visible(c, self.hidden):
+                due += reversed(c.children)
+        return "".join(out)
+
+    def cell(self, e: Element, lines: list[str]) -> Iterator:
+        """Set out a cell in lines of its own."""
         inner = Page(self.hidden)
-        inner.fill(e)
+        yield inner.fill(e)
         inner.flush()
-        return inner.lines
+        lines += inner.lines
 
-    def table(self, e: Element) -> None:
+    def table(self, e: Element) -> Iterator:
         """Rows with their cells in aligned columns, two blanks apart."""
         rows: list[list[tuple[list[str], int]]] = []
         below: dict[int, int] = {}  # column: rows that a cell above still reaches over
 
-        def gather(parent: Element) -> None:
+        def gather(parent: Element) -> Iterator:
             for c in parent.children:
                 if isinstance(c, str):
                     if c.strip():
-                        self.child(c)
+                        self.inline.append(c.replace(BREAK, " "))
                         self.flush()
                 elif not visible(c, self.hidden):
                     continue
@@ -316,9 +361,10 @@ class Page:
                     for d in c.children:
                         if isinstance(d, Element) and d.tag in ("td", "th") and visible(d, self.hidden):
                             skip()
-                            span = min(100, _count(d.attrs.get("colspan")))
-                            row.append((self.cell(d), span))
-                            if (tall := min(1000, _count(d.attrs.get("rowspan")))) > 1:
+                            span = min(MOST_COLUMNS, _count(d.attrs.get("colspan")))
+                            row.append(([], span))
+                            yield self.cell(d, row[-1][0])
+                            if (tall := min(MOST_ROWS, _count(d.attrs.get("rowspan")))) > 1:
                                 for k in range(place, place + span):
                                     below[k] = tall - 1
                             place += span
@@ -326,17 +372,18 @@ class Page:
                             skip()
                             holder = Element("td")
                             holder.children.append(d)
-                            row.append((self.cell(holder), 1))
+                            row.append(([], 1))
+                            yield self.cell(holder, row[-1][0])
                             place += 1
                     skip()
                     rows.append(row)
                 elif c.tag in ("thead", "tbody", "tfoot"):
-                    gather(c)
+                    yield gather(c)
                 else:
-                    self.show(c)
+                    yield self.show(c)
                     self.flush()
 
-        gather(e)
+        yield gather(e)
         widths: list[int] = []
         for row in rows:
             at = 0
@@ -364,16 +411,17 @@ def render(html: str) -> str:
     """All visible text of a page, set out in lines."""
     root, sheets = parse(html)
     page = Page(hidden_by(sheets))
-    page.fill(root)
+    drive(page.fill(root))
     page.flush()
     return "\n".join(page.lines)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """Replace the column ``html`` by ``into``: the visible text."""
-    at = pages.columns.index(html)
-    others = [c for c in pages.columns if c != html]
-    frame = pages.select(*others, F.lit("").alias(into))
+    """Replace the column ``html`` by ``into``: the visible text. A column of that name is replaced."""
+    kept = others(pages, html, into)
+    pages = pages.select(*(F.col(f"`{c}`") for c in [*kept, html]))
+    at = len(kept)
+    frame = pages.select(*(F.col(f"`{c}`") for c in kept), F.lit("").alias(into))
     names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
