@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.workspace import materialize
-from simloom.llm.files import open_system
+from simloom.llm.files import open_system, qualified
 
 #: Bytes of a block, and documents in a row of a block's lengths.
 BLOCK = 8 << 20
@@ -34,6 +34,7 @@ def write_token_files(encoded: DataFrame, path: str, separator: int, key: str =
     names count. Ids that do not fit ``dtype`` or equal the separator raise an error.
     """
     top = np.iinfo(np.dtype(dtype)).max
+    path = qualified(encoded.sparkSession, path)
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +75,7 @@ def block_summaries(spark: SparkSession, path: str, separator: int, dtype: str =
     A block without separators has its tokens as tail. ``files`` (file) keeps some files only.
     """
     width = np.dtype(dtype).itemsize
+    path = qualified(spark, path)
     block -= block % width
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"))
     if files is not None:

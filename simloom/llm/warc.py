@@ -5,8 +5,10 @@ record_type, record_id, target_uri and on single headers are pushed down where t
 session allows it (``spark.sql.python.filterPushdown.enabled``). A record's
 header is parsed first; a record that the filters leave out is passed over
 without decoding its block: members that carry their length (as those written
-here do, in the gzip field ``sl``) are skipped unread, others are inflated only to find their end.
-With the option ``payload`` = false no block is decoded at all.
+here do, in the gzip field ``sl``) are skipped unread. Other gzip files are inflated as
+one stream, in pieces, whether a member holds one record or all of them. With the
+option ``payload`` = false no block is kept. A file that ends inside a record or a
+member is an error that names it.
 
 Writing gives each task files of its own, one gzip member for each record,
 first under hidden names; the driver renames those of the tasks that count, so
@@ -33,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from simloom.functions.workspace import new_path
-from simloom.llm.files import open_system
+from simloom.llm.files import open_system, qualified
 
 FORMAT = "simloom_warc"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, headers map<string,string>, payload binary"
@@ -48,7 +50,9 @@ def member(data: bytes) -> bytes:
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(size, len(data)) > 0xFFFFFFFF:  # the field has no room for such a length
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, size, len(data))
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -161,12 +165,15 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with system.open_input_file(path) as f:
-                for head, block in (_members if path.endswith(".gz") else _plain)(f, self._keeps, self.payload):
-                    rows.append((head, block))
-                    size += len(block or b"") + 500
-                    if size > 4 << 20:
-                        yield _batch(rows)
-                        rows, size = [], 0
+                try:
+                    for head, block in (_members if path.endswith(".gz") else _plain)(f, self._keeps, self.payload):
+                        rows.append((head, block))
+                        size += len(block or b"") + 500
+                        if size > 4 << 20:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                except (EOFError, zlib.error) as error:
+                    raise ValueError(f"{path} is cut off or damaged: {error}") from error
         if rows:
             yield _batch(rows)
 
@@ -192,13 +199,18 @@ def _plain(f, keeps, payload: bool) -> Iterator[tuple[dict[str, str], bytes | No
         f.seek(at)
         data = f.read(1 << 14)
         lead = len(data) - len(data.lstrip(b"\r\n"))
+        if lead == len(data):  # line ends after the last record
+            at += lead
+            continue
         while (end := data.find(b"\r\n\r\n", lead)) < 0 and len(more := f.read(1 << 16)):
             data += more
         if end < 0:
-            return
+            raise EOFError("a header has no end")
         head = _header(data[lead:end])
         length = int(head.get("content-length", 0))
         begin = at + end + 4
+        if begin + length > size:
+            raise EOFError(f"a block of {length} bytes has {size - begin}")
         if keeps(head):
             block = None
             if payload:
@@ -209,39 +221,85 @@ def _plain(f, keeps, payload: bool) -> Iterator[tuple[dict[str, str], bytes | No
 
 
 def _members(f, keeps, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Records of a file of gzip members, one record each."""
+    """Records of a gzip file: by members while these carry their length, else as a stream."""
     at, size = 0, f.size()
     while at < size:
         f.seek(at)
         raw = f.read(1 << 13)
-        if len(raw) < 18:
+        if not (len(raw) > 20 and raw[3] & 4 and raw[12:14] == b"sl"):
+            f.seek(at)
+            yield from _stream(_inflated(f), keeps, payload)
             return
-        skip = 0
-        if raw[3] & 4 and raw[12:14] == b"sl":
-            skip = struct.unpack("<I", raw[16:20])[0]
+        skip = struct.unpack("<I", raw[16:20])[0]
+        if at + skip > size:
+            raise EOFError(f"a member of {skip} bytes has {size - at}")
         inflate = zlib.decompressobj(31)
         data = inflate.decompress(raw)
-        taken = len(raw)
         while (end := data.find(b"\r\n\r\n")) < 0 and not inflate.eof and (raw := f.read(1 << 16)):
             data += inflate.decompress(raw)
-            taken += len(raw)
         if end < 0:
-            return
+            raise EOFError("a header has no end")
         head = _header(data[:end])
-        wanted = keeps(head)
-        if not (wanted and payload) and skip:
-            at += skip
+        if keeps(head):
+            block = None
+            if payload:
+                pieces = [data]
+                while not inflate.eof and (raw := f.read(1 << 18)):
+                    pieces.append(inflate.decompress(raw))
+                data, length = b"".join(pieces), int(head.get("content-length", 0))
+                if not inflate.eof or len(data) < end + 4 + length:
+                    raise EOFError("a member ends early")
+                block = data[end + 4 : end + 4 + length]
+            yield head, block
+        at += skip
+
+
+def _inflated(f) -> Iterator[bytes]:
+    """The plain bytes of the members that follow, in pieces."""
+    inflate, rest, begun = zlib.decompressobj(31), b"", False
+    while raw := rest or f.read(1 << 16):
+        rest, begun = b"", True
+        if data := inflate.decompress(raw, 1 << 20):
+            yield data
+        if inflate.eof:
+            rest, inflate, begun = inflate.unused_data.lstrip(b"\0"), zlib.decompressobj(31), False
         else:
-            pieces = [data]
-            while not inflate.eof and (raw := f.read(1 << 18)):
-                got = inflate.decompress(raw)
-                taken += len(raw)
-                if wanted and payload:
-                    pieces.append(got)
-            at += taken - len(inflate.unused_data)
-            data = b"".join(pieces)
+            rest = inflate.unconsumed_tail
+    if begun:
+        raise EOFError("a member ends early")
+
+
+def _stream(pieces: Iterator[bytes], keeps, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Records of a stream of bytes; unwanted blocks are passed over piece by piece."""
+    data = bytearray()
+    while True:
+        while data[:1] in (b"\r", b"\n"):
+            del data[: len(data) - len(data.lstrip(b"\r\n"))]
+        while (end := data.find(b"\r\n\r\n")) < 0 and (more := next(pieces, b"")):
+            data += more
+            if data[:1] in (b"\r", b"\n"):
+                del data[: len(data) - len(data.lstrip(b"\r\n"))]
+        if end < 0:
+            if data.strip():
+                raise EOFError("a header has no end")
+            return
+        head = _header(bytes(data[:end]))
+        length = int(head.get("content-length", 0))
+        del data[: end + 4]
+        wanted = keeps(head)
+        block = bytearray()
+        while length:
+            if not data:
+                if not (more := next(pieces, b"")):
+                    raise EOFError(f"a block lacks {length} bytes")
+                data += more
+            taken = data[:length]
+            length -= len(taken)
+            del data[: len(taken)]
+            if wanted and payload:
+                block += taken
         if wanted:
-            yield head, data[end + 4 : end + 4 + int(head.get("content-length", 0))] if payload else None
+            yield head, bytes(block) if payload else None
 
 
 def _batch(rows: list[tuple[dict[str, str], bytes | None]]) -> pa.RecordBatch:
@@ -292,13 +350,13 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     register(spark)
-    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
+    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def write_archive(records: DataFrame, path: str) -> None:
     """Write records (record_id, record_type, target_uri, date, headers, payload) below ``path``."""
     register(records.sparkSession)
-    records.write.format(FORMAT).mode("append").save(path)
+    records.write.format(FORMAT).mode("append").save(qualified(records.sparkSession, path))
 
 
 #: Payloads of fewer bytes are always written in full.
@@ -338,18 +396,18 @@ def page_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 def archive_report(pages: DataFrame, **columns: str) -> DataFrame:
     """Write pages to archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Length and digest of a response are taken from the payload read, those of a
-    revisit from its header.
+    Responses and revisits are read apart, by a filter on the record type that is pushed
+    to the reader. Length and digest of a response are taken from the payload read;
+    those of a revisit from its header, so no block of one is decoded.
     """
-    path = new_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    path = new_path(spark, "warc")
     write_archive(page_records(pages, **columns), path)
-    back = read_archive(pages.sparkSession, path)
     header = lambda name: F.col("headers").getItem(name)
-    revisit = F.col("record_type") == "revisit"
-    return back.select(
-        header("page-id").cast("long").alias("page_id"),
-        F.when(revisit, header("payload-length").cast("long")).otherwise(F.length("payload")).cast("long").alias("payload_bytes"),
-        F.when(revisit, F.substring(header("warc-payload-digest"), 6, 40)).otherwise(F.sha1("payload")).alias("payload_digest"),
-        "record_type",
-        header("refers-to-page-id").cast("long").alias("refers_to"),
-    )
+    refers = header("refers-to-page-id").cast("long").alias("refers_to")
+    full = read_archive(spark, path).where("record_type = 'response'")
+    light = read_archive(spark, path, payload=False).where("record_type = 'revisit'")
+    page = header("page-id").cast("long").alias("page_id")
+    responses = full.select(page, F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", refers)
+    revisits = light.select(page, header("payload-length").cast("long").alias("payload_bytes"), F.substring(header("warc-payload-digest"), 6, 40).alias("payload_digest"), "record_type", refers)
+    return responses.unionByName(revisits)
