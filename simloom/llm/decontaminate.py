@@ -137,7 +137,7 @@ def hits(found: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", size: int = SIZE) -> DataFrame:
     """One row for each row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = hits(matches(docs, items, text, item_key, size))
+    found = materialize(hits(matches(docs, items, text, item_key, size)), "hits")  # as a table of its own, so that the join below can split a hot text
     rows = docs.select(F.col(key), text_id(text).alias("text_id"), F.size(words(text)).cast("long").alias("n_words"))
     none = F.lit(0).cast("long")
     out = rows.join(found, "text_id", "left").select(key, "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"))
@@ -146,5 +146,6 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` whose text has no match."""
-    found = matches(docs, items, text, item_key, size).select(F.col("text_id").alias("_id")).distinct()
-    return docs.join(found, text_id(text) == found["_id"], "left_anti")
+    found = materialize(matches(docs, items, text, item_key, size).select("text_id").distinct(), "contaminated")
+    rows = docs.select(text_id(text).alias("text_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(found, "text_id", "left_anti").select("row.*")
