@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import os
 import random
@@ -63,6 +64,20 @@ def test_bpe_frames(spark):
     assert bpe.digests(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_chunks_as_rows(spark):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("ab é漢 \n\t'sRE12$%🙂   ") for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    texts += ["x" * 200, " " * 150 + "end", "ab " * 60 + " " * 90 + "cd " * 50, "a\n" * 99, "", None, texts[0] * 4, texts[0] * 4]
+    docs = docs_of(spark, texts).withColumn("ids", F.lit("old")).withColumn("N_tokens", F.lit("old")).withColumn("id", F.col("doc_id"))
+    v = bpe.Vocabulary.load(RANKS, PATTERN)
+    for chunk, overlap in ((24, 9), (40, 30), (64, 2)):
+        got = {r.doc_id: r for r in bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap).collect()}
+        assert len(got) == len(texts) and all(r.id == k for k, r in got.items())
+        for k, t in enumerate(texts):
+            assert (got[k].ids is None) if t is None else np.frombuffer(got[k].ids, "<u4").tolist() == v.encoding.encode_ordinary(t), (chunk, t)
+    assert sorted(bpe.digests(docs, RANKS, PATTERN, chunk=24, overlap=9).collect()) == sorted(bpe.digests(docs, RANKS, PATTERN).collect())
+
+
 # --- token files ---
 
 
@@ -322,6 +337,32 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identify(docs.select("doc_id", "text"), langid.profiles(docs.limit(0))).collect()} == {"und"}
 
 
+def test_distances_against_a_plain_version(spark):
+    rng = random.Random(42)
+    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    frame = spark.createDataFrame([(i, t, "xyz"[i % 3], 0.5) for i, t in enumerate(texts)] + [(99, "", "x", 0.1)], "doc_id long, text string, lang string, Score double")
+    top = 12
+    got = {r.doc_id: r for r in langid.identify(frame, langid.profiles(frame, top=top), top=top).collect()}
+
+    def counts(of):
+        out = Counter()
+        for t in of:
+            _, gram, count = langid.grams([t])
+            out.update(dict(zip(gram.tolist(), count.tolist())))
+        return {g: r for r, (g, _) in enumerate(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:top])}
+
+    profiles = {name: counts(t for i, t in enumerate(texts) if "xyz"[i % 3] == name) for name in "xyz"}
+    for i, t in enumerate(texts):
+        own = counts([t])
+        far = {name: sum(abs(r - p[g]) if g in p else top for g, r in own.items()) for name, p in profiles.items()}
+        best = min("xyz", key=lambda name: (far[name], name))
+        if own:
+            assert got[i].lang_pred == best and got[i].score == pytest.approx(1 - far[best] / (len(own) * top))
+    assert got[99].lang_pred == "und" and langid.identify(frame.limit(0), langid.profiles(frame)).count() == 0
+    index, rank = langid.ranks(np.zeros(3, np.int64), np.array([2_000_000, 3_000_000, 2_000_000]))
+    assert index.tolist() == [1, 0, 2] and rank.tolist() == [0, 1, 2]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_language_accuracy(spark):
     got = queries.op4_langid(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
@@ -366,6 +407,37 @@ def test_long_spans_are_decoded_whole():
     assert out.count("idiot") == 12 and out.count("stupid") == 12 and len(out) == 18 * 12
 
 
+def test_viterbi_finds_the_cheapest_of_all_readings():
+    model = _plain_model()
+    cost, decoder, rng = model.reshape(-1).tolist(), toxicity.Decoder(model), random.Random(41)
+    size = toxicity.SYMBOLS
+
+    def readings(span):
+        """Every reading of a span with its cost."""
+        paths = [(0, 0.0, "")]
+        for n, c in enumerate(span):
+            previous = span[n - 1] if n else ""
+            if c.isalpha():
+                moves = [("", toxicity.COST_DROP_REPEAT), (c, toxicity.COST_KEEP_REPEAT)] if c == previous else [(c, 0.0)]
+            else:
+                moves = [(x, toxicity.COST_SUBSTITUTE) for x in toxicity.STANDS_FOR.get(c, "")]
+                moves.append(("", toxicity.COST_DROP_BETWEEN if c in toxicity.BETWEEN else toxicity.COST_DROP_REPEAT if c == previous and c in toxicity.STANDS_FOR else toxicity.COST_DROP_SYMBOL))
+            fresh = []
+            for context, spent, out in paths:
+                for x, extra in moves:
+                    code = context * size + (ord(x) - 96 if x else 0)
+                    fresh.append((code % size**3, spent + extra + cost[code], out + x) if x else (context, spent + extra, out))
+                if c in toxicity.BETWEEN and context:
+                    fresh.append((0, spent + toxicity.COST_PART + cost[context * size], out + " "))
+            paths = fresh
+        return {out: min(s + (cost[c * size] if c else 0.0) for c, s, o in paths if o == out) for out in {p[2] for p in paths}}
+
+    for _ in range(300):
+        span = rng.choice("ab1i$") + "".join(rng.choice("aiosd*1$|. -") for _ in range(rng.randint(0, 6))) + rng.choice("ab1i$")
+        found = readings(span)
+        assert found[decoder.restore(span)] <= min(found.values()) + 1e-9, span
+
+
 def test_dealt_noise_is_decoded():
     counts = toxicity.ngram_counts(np.frombuffer(b"you are a dumb stupid idiot dumbass ass in the letter house by the river " * 50, np.uint8))
     decoder = toxicity.Decoder(toxicity.smoothed(counts.astype(float).reshape((toxicity.SYMBOLS,) * toxicity.ORDER)))
@@ -422,6 +494,19 @@ def test_archive_cases_and_filters(spark, tmp_path):
     read = {r.record_type: (bytes(r.payload), r.headers.get("x-long")) for r in warc.read_archive(spark, str(tmp_path / "p")).collect()}
     assert read == {"resource": (b"abc", "a b"), "metadata": (b"", None)}
     assert warc.archive_report(pages.limit(0)).count() == 0
+    for name, data in (("one", gzip.compress(plain)), ("two", gzip.compress(plain[:90]) + gzip.compress(plain[90:]))):  # members that are not records
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(data)
+        frame = warc.read_archive(spark, str(tmp_path / name))
+        assert {r.record_type: bytes(r.payload) for r in frame.collect()} == {"resource": b"abc", "metadata": b""}
+        assert [r.record_type for r in frame.where("record_type = 'metadata'").collect()] == ["metadata"]
+    whole = gzip.compress(plain)
+    own = next(p for p in tmp_path.iterdir() if p.name.endswith(".warc.gz")).read_bytes()
+    for name, data in (("c.warc.gz", whole[:-12]), ("d.warc", plain[:66]), ("e.warc.gz", own[:-5])):
+        (tmp_path / name[0]).mkdir()
+        (tmp_path / name[0] / name).write_bytes(data)
+        with pytest.raises(Exception, match="cut off"):
+            warc.read_archive(spark, str(tmp_path / name[0])).collect()
     with ThreadPoolExecutor(1) as other:  # a thread in which no session is active
         assert other.submit(lambda: warc.archive_report(pages).count()).result() == 7
 
@@ -438,11 +523,16 @@ def test_html_layout():
 
 
 def test_html_odd_pages(spark):
-    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    deep = "<div>" * 50_000 + "deep" + "</div>" * 50_000
+    nested = "<table><tr><td>" * 300 + "in" + "</table>" * 300
+    assert htmltext.render(nested) == "in" and htmltext.render("<ul><li>" * 3000 + "x").strip() == "- x"
+    assert htmltext.render("<div hidden>" + "<b>" * 5000 + "no" + "</b>" * 5000 + "</div>yes") == "yes"
+    assert htmltext.render("<table><tr><td colspan=5000>a<td>b</table>").split() == ["a", "b"] and htmltext.render("<pre>" + "<i>" * 5000 + "a  b") == "a  b"
     for page, text in (("", ""), ("<", "<"), ("a < b", "a < b"), ("<p", ""), (deep, "deep"), ("<table><td>x<td>y", "x  y"), ("</p></div>ok", "ok"), ("<!-- open", ""), ("<b><i>x</b>y</i>", "xy"), ("<script>x", "")):
         assert htmltext.render(page) == text, page[:30]
-    got = htmltext.extract(spark.createDataFrame([(1, None), (2, "<p>x")], "page_id long, html string")).collect()
-    assert {r.page_id: r.text for r in got} == {1: "", 2: "x"}
+    pages = spark.createDataFrame([(1, None, "old"), (2, "<p>x", "old"), (2, "<p>x", "old")], "page_id long, html string, Text string")
+    assert sorted((r.page_id, r.text) for r in htmltext.extract(pages).collect()) == [(1, ""), (2, "x"), (2, "x")]
+    assert htmltext.extract(pages.limit(0)).count() == 0
 
 
 # --- pipeline ---
