@@ -54,7 +54,7 @@ def top_classes(items: DataFrame, k: int, without: list[int] | None = None) -> D
 
 def reindexed(items: DataFrame, kept: DataFrame, unknown: int | None = None) -> DataFrame:
     """Rows with the new ids of ``kept``; others get ``unknown``, or go."""
-    out = items.join(F.broadcast(kept), "class_id", "left" if unknown is not None else "inner")
+    out = items.join(_few(kept, MOST_CLASSES), "class_id", "left" if unknown is not None else "inner")
     return out.withColumn("new_id", F.coalesce("new_id", F.lit(unknown)) if unknown is not None else F.col("new_id"))
 
 
@@ -66,10 +66,32 @@ def class_attention(index: DataFrame, query: Column) -> DataFrame:
     return summed.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("value"))
 
 
+def class_logits(index: DataFrame, weights: DataFrame) -> DataFrame:
+    """(uid, class_id, score): scalar product of each row with the ``weight`` of each class (class_id, weight, bias), and its bias. At most MOST_CLASSES classes."""
+    return index.join(_few(weights, MOST_CLASSES), F.lit(True)).select("uid", "class_id", (V.dot(F.col("features"), F.col("weight")) + F.col("bias")).alias("score"))
+
+
+def word_lists(words: DataFrame) -> DataFrame:
+    """(uid, words array): the words (uid, kp, word) of an image's keypoints in their order; a keypoint without word counts as -1."""
+    each = words.select("uid", F.struct("kp", F.coalesce("word", F.lit(-1)).alias("word")).alias("x"))
+    return each.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["word"]).alias("words"))
+
+
+#: Most classes or centroids that are sent to every task.
+MOST_CLASSES = 100_000
+
+
+def _few(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, to be sent to every task; more than ``most`` are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} rows can be sent to every task")
+    return F.broadcast(rows)
+
+
 def nearest_centroid(index: DataFrame, centroids: DataFrame) -> DataFrame:
     """(uid, word): the centroid (word, centre) of least Euclidean distance; ties to the lower word. Centroids are few and sent to all tasks."""
     d = V.squared_distance(F.col("features"), F.col("centre"))
-    return index.join(F.broadcast(centroids), F.lit(True)).groupBy("uid").agg(F.min_by("word", F.struct(F.round(d, 9), "word")).alias("word"))
+    return index.join(_few(centroids, MOST_CLASSES), F.lit(True)).groupBy("uid").agg(F.min_by("word", F.struct(F.round(d, 9), "word")).alias("word"))
 
 
 def visual_words(rows: DataFrame, k: int, seed: int = 1, column: str = "features"):

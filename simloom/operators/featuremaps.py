@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from simloom.functions import vectors as V
 
 
+#: Most queries of an attention map.
+QUERIES = 1_000
+
+
 def cells(maps: DataFrame) -> DataFrame:
     """(uid, y, x, ch, value) of each component."""
     each = maps.select("uid", "w", "c", F.posexplode(V.doubles(F.col("data"))).alias("p", "value"))
@@ -82,6 +86,27 @@ def decoded(codes: DataFrame) -> DataFrame:
     return whole.select("uid", "h", "w", "c", F.col("z.value").alias("data"))
 
 
+def attention_map(maps: DataFrame, queries: DataFrame) -> DataFrame:
+    """(uid, query, y, x, weight): softmax over a map's cells of the scalar products of their channels with each query (query, vector), over the root of the number of channels.
+
+    Queries are few; each cell is multiplied with all of them.
+    """
+    if queries.limit(QUERIES + 1).count() > QUERIES:
+        raise ValueError(f"at most {QUERIES} queries")
+    each = descriptors(maps).join(F.broadcast(queries), F.lit(True))
+    score = V.dot(F.col("desc"), F.col("vector")) / F.sqrt(F.size("desc").cast("double"))
+    weight = softmax(F.col("score"), Window.partitionBy("uid", "query"))
+    return each.withColumn("score", score).withColumn("weight", weight).select("uid", "query", "y", "x", "weight")
+
+
+def gathered(maps: DataFrame, attention: DataFrame, how: str = "sum") -> DataFrame:
+    """(uid, query, ch, value): the map's values weighted by its attention and pooled (sum, max, avg), scaled to length 1 for each query."""
+    kinds = {"sum": F.sum, "max": F.max, "avg": F.avg}
+    weighted = cells(maps).join(attention, ["uid", "y", "x"]).groupBy("uid", "query", "ch").agg(kinds[how](F.col("weight") * F.col("value")).alias("value"))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("uid", "query")))
+    return weighted.withColumn("value", F.when(length == 0, 0.0).otherwise(F.col("value") / length))
+
+
 def softmax(score: Column, over: Window) -> Column:
     """Softmax of a score within a partition."""
     e = F.exp(score - F.max(score).over(over))

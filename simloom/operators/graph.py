@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.functions.numbering import numbered
 from simloom.operators.components import connected_components
 
 POSITIVE, NEGATIVE, DUPLICATE = "POSITIVE", "NEGATIVE", "DUPLICATE"
@@ -36,6 +37,17 @@ def neighbours(links: DataFrame, kind: str | None = None) -> DataFrame:
     return some.select(F.col("img1").alias("uid"), F.col("img2").alias("other")).unionByName(some.select(F.col("img2").alias("uid"), F.col("img1").alias("other"))).distinct()
 
 
+def degrees(links: DataFrame) -> DataFrame:
+    """(uid, degree): how many different nodes each node is linked with; a loop counts as one."""
+    return neighbours(links).groupBy("uid").agg(F.count("*").alias("degree"))
+
+
+def has_edge(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with ``linked``: whether a link joins them, in either direction."""
+    known = neighbours(links).select(F.col("uid").alias("a"), F.col("other").alias("b"), F.lit(True).alias("linked"))
+    return pairs.join(known, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+
 def physical_closure(links: DataFrame) -> DataFrame:
     """(uid, component): the least node that each node is joined with by DUPLICATE links, itself if none."""
     joined = connected_components(links.where(F.col("type") == DUPLICATE), "img1", "img2").withColumnRenamed("node", "uid")
@@ -96,6 +108,19 @@ def component_statistics(links: DataFrame) -> DataFrame:
     return connected_components(links, "img1", "img2").groupBy("component").agg(F.count("*").alias("members"))
 
 
+def duplicate_totals(scored: DataFrame, above: float = 0.9) -> DataFrame:
+    """(links, share, images, objects) of candidate pairs (a, b, score): those above a score, their share of all, their images and components."""
+    links = scored.where(F.col("score") > above).select("a", "b")
+    parts = connected_components(links).agg(F.count("*").alias("images"), F.countDistinct("component").alias("objects"))
+    counted = scored.agg(F.count_if(F.col("score") > above).alias("links"), F.avg((F.col("score") > above).cast("double")).alias("share"))
+    return counted.join(parts, F.lit(True))  # one row each
+
+
+def most_conflicts(conflicts: DataFrame, n: int = 10) -> DataFrame:
+    """The n pairs of authors of ``attribution_conflicts`` that meet most often."""
+    return conflicts.orderBy(F.desc("count"), "id1", "id2").limit(n)
+
+
 def attribution_conflicts(members: DataFrame) -> DataFrame:
     """(id1, id2, count): in how many components two different authors id1 < id2 meet; ``members`` is (component, author).
 
@@ -119,7 +144,7 @@ def dbscan(near: DataFrame, rows: DataFrame, least: int = 3) -> DataFrame:
     inner = near.join(cores.withColumnRenamed("uid", "i"), "i", "left_semi").join(cores.withColumnRenamed("uid", "j"), "j", "left_semi")
     joined = connected_components(inner, "i", "j").withColumnRenamed("node", "uid")
     placed = cores.join(joined, "uid", "left").select("uid", F.coalesce("component", "uid").alias("root"))
-    numbers = placed.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
+    numbers = numbered(placed.select("root").distinct(), "cluster", "root")
     core_cluster = placed.join(numbers, "root").select("uid", "cluster")
     border = both.join(cores, "uid", "left_anti").join(core_cluster.select(F.col("uid").alias("other"), "cluster"), "other").groupBy("uid").agg(F.min("cluster").alias("cluster"))
     return core_cluster.unionByName(border)

@@ -67,12 +67,12 @@ def within(rows: DataFrame, below: float, block: int = BLOCK) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     ends = dealt.withColumn("o", other)
     left = ends.where("b <= o").select("uid", "features", F.col("b").alias("p"), F.col("o").alias("q"))
-    right = ends.where("o <= b").select("uid", "features", F.col("o").alias("p"), F.col("b").alias("q"))
+    right = ends.where("o <= b").select(*(F.col(c).alias(c) for c in ("uid", "features")), F.col("o").alias("p"), F.col("b").alias("q"))
 
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+    def near(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if a.num_rows and b.num_rows:
-            same = a["uid"][0] in set(b["uid"]) if a.num_rows == b.num_rows else False
+            same = key[0] == key[1]
             for i, j, d in _cosine_strips(a, b):
                 x, y = np.nonzero(d < below)
                 u, v, w = i[x], j[y], d[x, y]
@@ -81,7 +81,40 @@ def within(rows: DataFrame, below: float, block: int = BLOCK) -> DataFrame:
         x, y, z = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         return pa.table({"i": x, "j": y, "dist": z})
 
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(near, "i long, j long, dist double").distinct()
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(near, "i long, j long, dist double")
+
+
+def score_counts(rows: DataFrame, places: int = 2, block: int = BLOCK) -> DataFrame:
+    """(score, p, n): of all pairs of rows (uid, features, class_id) the rounded scalar product, how many have one class, and how many there are.
+
+    Pairs are added up by score where a pair of blocks is multiplied, so none of them leaves its task.
+    """
+    clean = rows.where("uid is not null and features is not null").select("uid", V.doubles(F.col("features")).alias("features"), "class_id")
+    blocks = max(1, -(-clean.count() // block))
+    ends = clean.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(blocks))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    left = ends.where("b <= o").select("uid", "features", "class_id", F.col("b").alias("p"), F.col("o").alias("q"))
+    right = ends.where("o <= b").select(*(F.col(c).alias(c) for c in ("uid", "features", "class_id")), F.col("o").alias("p"), F.col("b").alias("q"))
+
+    def count(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        scores, same, all_ = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if a.num_rows and b.num_rows:
+            x, y = _matrix(a["features"]), _matrix(b["features"])
+            i, j, c, d = a["uid"].to_numpy(), b["uid"].to_numpy(), a["class_id"].to_numpy(), b["class_id"].to_numpy()
+            for s in range(0, len(x), STRIP):
+                product = np.round(x[s : s + STRIP] @ y.T, places) + 0.0
+                pair = (i[s : s + STRIP, None] < j) if key[0] == key[1] else np.ones(product.shape, bool)
+                value, at = np.unique(product[pair], return_inverse=True)
+                scores.append(value)
+                all_.append(np.bincount(at, minlength=len(value)))
+                same.append(np.bincount(at, (c[s : s + STRIP, None] == d)[pair], len(value)).astype(np.int64))
+        value, at = np.unique(np.concatenate(scores), return_inverse=True)
+        p, n = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64)
+        np.add.at(p, at, np.concatenate(same))
+        np.add.at(n, at, np.concatenate(all_))
+        return pa.table({"score": value, "p": p, "n": n})
+
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(count, "score double, p long, n long")
+    return found.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
 def find_duplicates(rows: DataFrame, below: float = 0.065, above: float = -1.0, k: int = 100) -> DataFrame:

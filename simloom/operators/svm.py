@@ -2,7 +2,7 @@
 
 The examples are part of the request, so the dual problem is solved on the
 driver; what comes out, one coefficient for each example and a constant, scores
-any number of rows as a column expression.
+any number of rows in an Arrow function.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from simloom.functions import vectors as V
+from pyspark.sql.functions import arrow_udf
 
 
 @dataclass
@@ -26,12 +25,23 @@ class Machine:
     gamma: float
 
     def score(self, v: Column) -> Column:
-        """The score of a column of vectors."""
-        out = F.lit(-self.offset)
-        for x, c in zip(self.examples, self.coefficients, strict=True):
-            if c:
-                out = out + float(c) * V.rbf(v, F.array(*(F.lit(float(t)) for t in x)), self.gamma)
-        return out
+        """The score of a column of vectors: one Arrow function that holds the examples; null where the vector is."""
+        used = self.coefficients != 0
+        examples, coefficients, offset, gamma = self.examples[used], self.coefficients[used], self.offset, self.gamma
+
+        @arrow_udf("double")
+        def scored(vectors: pa.Array) -> pa.Array:
+            out, known = np.full(len(vectors), np.nan), np.asarray(vectors.is_valid())
+            some = vectors.drop_null()
+            if len(some):
+                x = some.flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
+                total = np.full(len(x), -offset)
+                for e, c in zip(examples, coefficients, strict=True):
+                    total += c * np.exp(-gamma * ((x - e) ** 2).sum(axis=1))
+                out[known] = total
+            return pa.array(out, mask=~known)
+
+        return scored(v.cast("array<double>"))
 
 
 def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions import text as X
 from simloom.functions import vectors as V
-from simloom.operators import classes, evaluation, featuremaps, graph, keypoints, matching, mining, pairs, region, search
+from simloom.operators import classes, evaluation, featuremaps, graph, keypoints, matching, mining, pairs, region, search, service
 from simloom.operators.components import connected_components
 from simloom.plans import fixtures as T
 from simloom.sources import index, locations
@@ -339,25 +339,21 @@ _CURVE = f"""{_N}, sc AS (SELECT round(list_dot_product(a.v, b.v), 2) AS score,
     cv AS (SELECT score, sum(p) OVER w AS tp, sum(c) OVER w AS seen, (SELECT sum(p) FROM g) AS every FROM g WINDOW w AS (ORDER BY score DESC))"""
 
 
-def _scored_pairs(spark, sf) -> DataFrame:
-    rows = T.labelled(spark, sf)
-    near = pairs.within(rows.select("uid", "features"), 3.0)
-    one, two = rows.select(F.col("uid").alias("i"), F.col("class_id").alias("x"), F.col("features").alias("u")), rows.select(F.col("uid").alias("j"), F.col("class_id").alias("y"), F.col("features").alias("v"))
-    both = near.join(one, "i").join(two, "j")
-    return both.select((F.round(V.dot(F.col("u"), F.col("v")), 2) + 0.0).alias("score"), (F.col("x") == F.col("y")).cast("int").alias("label"))
+def _pair_curve(spark, sf) -> DataFrame:
+    return evaluation.cumulated(pairs.score_counts(T.labelled(spark, sf)))
 
 
 @query(_with(_CURVE, "SELECT score + 0.0 AS score, CAST(tp AS BIGINT) AS tp, CAST(seen - tp AS BIGINT) AS fp, round(tp / seen, 6) AS precision, round(tp / every, 6) AS recall FROM cv"))
 def pr_curve(spark, sf):
     """Precision-recall curve of pair scores against equal labels."""
-    return evaluation.precision_recall_curve(_scored_pairs(spark, sf)).withColumn("precision", r6("precision")).withColumn("recall", r6("recall"))
+    return _pair_curve(spark, sf).withColumn("precision", r6("precision")).withColumn("recall", r6("recall"))
 
 
 @query(_with(_CURVE, """, w AS (SELECT unnest([0.05, 0.1, 0.12])::DOUBLE AS target)
     SELECT target, arg_min(score, score) + 0.0 AS threshold, round(arg_min(tp / every, score), 6) AS recall, CAST(arg_min(seen - tp, score) AS BIGINT) AS fp FROM cv JOIN w ON tp / seen >= target GROUP BY target""").replace(" , w AS", ", w AS"))
 def threshold_at_precision(spark, sf):
     """The lowest score that reaches each precision."""
-    curve = evaluation.precision_recall_curve(_scored_pairs(spark, sf))
+    curve = _pair_curve(spark, sf)
     return evaluation.threshold_at(curve, [0.05, 0.1, 0.12]).withColumn("recall", r6("recall"))
 
 
@@ -446,7 +442,7 @@ def _all_results(spark, sf, links):
 @query(_with(f"""{_ANY}, {_QUOTA}, {_ALLRES}, ob AS (SELECT uid, uid AS other FROM nodes UNION SELECT uid, other FROM nb),
     ban AS (SELECT uid, other FROM ob UNION SELECT o.uid, d.other FROM ob o JOIN nb d ON d.uid = o.other AND d.type = 'DUPLICATE'),
     rch AS (SELECT uid, (count(*) + 10) * 3 AS reach FROM ban GROUP BY uid),
-    fair AS (SELECT query_id AS uid, a.uid AS other FROM allres a JOIN rch ON rch.uid = query_id WHERE rank <= 400 AND rank <= reach AND NOT EXISTS (SELECT 1 FROM ban b WHERE b.uid = query_id AND b.other = a.uid)),
+    fair AS (SELECT query_id AS uid, a.uid AS other FROM allres a JOIN rch ON rch.uid = query_id WHERE rank <= reach AND NOT EXISTS (SELECT 1 FROM ban b WHERE b.uid = query_id AND b.other = a.uid)),
     o AS (SELECT uid, other, row_number() OVER (PARTITION BY uid ORDER BY md5(concat_ws('_', uid, other, 'h')), other) AS r FROM fair)""",
     "SELECT o.uid AS a, other AS b, 0.0::DOUBLE AS label FROM o JOIN quota USING (uid) WHERE r <= quota"))
 def hard_negatives(spark, sf):
@@ -466,16 +462,9 @@ def triplet_candidates(spark, sf):
     return mining.triplets(links, T.triplet_results(spark, sf, links, 5), 5, 0.1, "t")
 
 
-@query(_with(_RESULTS, "SELECT DISTINCT least(query_id, uid) AS a, greatest(query_id, uid) AS b FROM res WHERE rank <= 21 AND query_id <> uid"))
-def candidate_pairs(spark, sf):
-    """Pairs of nodes and their first 20 results."""
-    links = T.links(spark, sf)
-    return mining.candidate_pairs(links, T.results(spark, sf, links))
-
-
 @query()
-def candidate_pairs_reranked(spark, sf):
-    """The same from searches reranked by inliers, as in the reference; ``candidate_pairs`` and its SQL take the first scores."""
+def candidate_pairs(spark, sf):
+    """Pairs of nodes and the first 20 results of their searches, reranked by inliers; too slow in SQL."""
     links = T.links(spark, sf)
     return mining.candidate_pairs(links, matching.rerank_many(T.maps(spark, sf, False), T.results(spark, sf, links, region.SHORTLIST), 21))
 
@@ -560,27 +549,20 @@ def region_descriptor(spark, sf):
     return T.maps(spark, sf).mapInArrow(run, "uid long, place int, value double").withColumn("value", r6("value"))
 
 
-@query(f"""WITH {_region_sql()}, {_E}, short AS (SELECT vec_id AS uid FROM e ORDER BY list_dot_product(v, {_v(0)}) DESC, vec_id LIMIT 200),
+@query(f"""WITH {_region_sql()}, {_E}, short AS (SELECT vec_id AS uid FROM e ORDER BY list_dot_product(v, {_v(0)}) DESC, vec_id LIMIT 1000),
     qd AS (SELECT ch, k, q FROM part WHERE uid = 0 AND y1 = 0 AND x1 = 0 AND y2 = 2 AND x2 = 2),
     sc AS (SELECT p.uid, y1, x1, y2, x2, sum(p.q * qd.q) AS score FROM part p JOIN qd USING (ch, k) WHERE p.uid IN (SELECT uid FROM short) GROUP BY 1, 2, 3, 4, 5),
     b AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY round(score, 12) DESC, y2, x2, y1, x1) AS r FROM sc)
     SELECT CAST(row_number() OVER (ORDER BY score DESC, uid) AS INT) AS rank, uid, round(score, 6) + 0.0 AS score, y1 / 4 AS y, x1 / 4 AS x, (y2 - y1) / 4 AS h, (x2 - x1) / 4 AS w FROM b WHERE r = 1 ORDER BY score DESC, uid LIMIT 50""")
 def search_region(spark, sf):
     """Maps with a window like the top left quarter of map 0."""
-    out = region.search_region(T.vectors(spark, sf), T.maps(spark, sf), 0, (0.0, 0.0, 0.5, 0.5), 50, 200)
-    return out.select("rank", "uid", r6("score").alias("score"), "y", "x", "h", "w")
-
-
-@query()
-def search_region_full(spark, sf):
-    """The same over a shortlist as long as the reference's; ``search_region`` and its SQL take 200 rows."""
-    out = region.search_region(T.vectors(spark, sf), T.maps(spark, sf), 0, (0.0, 0.0, 0.5, 0.5), 50, max(region.SHORTLIST, 50))
+    out = region.search_region(T.vectors(spark, sf), T.maps(spark, sf), 0, (0.0, 0.0, 0.5, 0.5), 50, region.SHORTLIST)
     return out.select("rank", "uid", r6("score").alias("score"), "y", "x", "h", "w")
 
 
 # --- matching ----------------------------------------------------------------------------------------------------
 
-_PAIRS = "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM embeddings WHERE vec_id < 100)"
+_PAIRS = "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM embeddings)"
 _DESC = """raw AS (SELECT vec_id AS uid, y, x, list_transform(range(1, 5), lambda k: CAST(embedding[16 * y + 4 * x + k] AS DOUBLE)) AS d FROM embeddings, range(1, 3) a(y), range(1, 3) b(x)),
     dsc AS (SELECT uid, y + 0.5 AS y, x + 0.5 AS x, list_transform(d, lambda t: t / sqrt(list_dot_product(d, d))) AS d FROM raw),
     cand AS (SELECT p.a, p.b, s.y AS y1, s.x AS x1, t.y AS y2, t.x AS x2, round(1 - list_dot_product(s.d, t.d), 9) AS dist FROM prs p JOIN dsc s ON s.uid = p.a JOIN dsc t ON t.uid = p.b),
@@ -596,7 +578,7 @@ _MODELS = f"""{_VOTES}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PART
 
 
 def _map_pairs(spark, sf) -> DataFrame:
-    return T.vectors(spark, sf).where("uid < 100").select(F.lit(0).cast("long").alias("a"), F.col("uid").alias("b"))
+    return T.vectors(spark, sf).select(F.lit(0).cast("long").alias("a"), F.col("uid").alias("b"))
 
 
 @query(f"WITH {_PAIRS}, {_DESC} SELECT * FROM mut")
@@ -617,41 +599,12 @@ def match_inliers(spark, sf):
     return matching.matched(T.maps(spark, sf, False), _map_pairs(spark, sf)).select("a", "b", "n_matches")
 
 
-def _all_map_pairs(spark, sf) -> DataFrame:
-    return T.vectors(spark, sf).select(F.lit(0).cast("long").alias("a"), F.col("uid").alias("b"))
-
-
-@query()
-def mutual_matches_all(spark, sf):
-    """Cells of map 0 and of every map that are among each other's three nearest; ``mutual_matches`` and its SQL take the first 100 maps."""
-    return matching.mutual_matches(T.maps(spark, sf, False), _all_map_pairs(spark, sf))
-
-
-@query()
-def hough_votes_all(spark, sf):
-    """Votes of these candidates."""
-    return matching.hough_votes(matching.mutual_matches(T.maps(spark, sf, False), _all_map_pairs(spark, sf)))
-
-
-@query()
-def match_inliers_all(spark, sf):
-    """Inliers of the best model of map 0 with every map."""
-    return matching.matched(T.maps(spark, sf, False), _all_map_pairs(spark, sf)).select("a", "b", "n_matches")
-
-
 @query(f"""WITH {_E}, sh AS (SELECT vec_id, row_number() OVER (ORDER BY list_dot_product(v, {_v(0)}) DESC, vec_id) AS first FROM e),
-    {_MODELS.replace("prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM embeddings WHERE vec_id < 100)", "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM sh WHERE first <= 60)")}
+    {_MODELS.replace(_PAIRS, "prs AS (SELECT 0::BIGINT AS a, vec_id AS b FROM sh WHERE first <= 1000)")}
     SELECT CAST(row_number() OVER (ORDER BY n_matches DESC, first) AS INT) AS rank, b AS uid, CAST(n_matches AS DOUBLE) AS score FROM won JOIN sh ON vec_id = b ORDER BY n_matches DESC, first LIMIT 20""")
 def rerank(spark, sf):
-    """The 60 nearest rows of vector 0 in the order of their inliers."""
-    short = search.search(T.vectors(spark, sf), [0], k=60)
-    return matching.rerank(T.maps(spark, sf, False), 0, short, 20).select("rank", "uid", "score")
-
-
-@query()
-def rerank_full(spark, sf):
-    """The same over a shortlist as long as the reference's; ``rerank`` and its SQL take 60 rows."""
-    short = search.search(T.vectors(spark, sf), [0], k=max(region.SHORTLIST, 20))
+    """The 1,000 nearest rows of vector 0 in the order of their inliers."""
+    short = search.search(T.vectors(spark, sf), [0], k=region.SHORTLIST)
     return matching.rerank(T.maps(spark, sf, False), 0, short, 20).select("rank", "uid", "score")
 
 
@@ -877,3 +830,134 @@ def metadata_join(spark, sf):
     """Rows with the last metadata of their key."""
     meta = T.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("author"), "o_orderkey")
     return locations.with_metadata(T.table(spark, sf, "customer").select(F.col("c_custkey").alias("key")), meta, "o_orderkey")
+
+
+# --- service, benchmarks and metadata ----------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["rerank"].replace("CAST(n_matches AS DOUBLE) AS score", "CAST(n_matches AS DOUBLE) AS score, (SELECT count(*) FROM embeddings) AS total"))
+def service_search(spark, sf):
+    """One call: search by one id, reranked, as structs with the total."""
+    out = service.search_service(T.vectors(spark, sf), [0], k=20, rerank=True, maps=T.maps(spark, sf, False))
+    return out.select("rank", "result.uid", "result.score", "total")
+
+
+@query(_with(_E, f"SELECT CAST(row_number() OVER (ORDER BY round(s, 12) DESC, vec_id) AS INT) AS rank, vec_id AS uid, round(s, 6) + 0.0 AS score, (SELECT count(*) FROM e) AS total FROM (SELECT vec_id, list_dot_product(v, {_v(3)}) AS s FROM e) ORDER BY rank LIMIT 50"))
+def service_external(spark, sf):
+    """Search by a vector that is given."""
+    rows = T.vectors(spark, sf)
+    out = service.search_external(rows, list(search.features_of(rows, [3])[0]), 50)
+    return out.select("rank", "result.uid", r6("result.score").alias("score"), "total")
+
+
+@query(ORACLE_SQL["rerank"])
+def composed_search(spark, sf):
+    """The composed search by vectors and maps."""
+    return service.composed_search(T.vectors(spark, sf), T.maps(spark, sf, False))(0, 20)
+
+
+_ATTENTION = f"""{_CELLS}, q AS (SELECT 0 AS query, [0.5, -0.25, 1.0, 0.125] AS w UNION ALL SELECT 1, [-1.0, 0.5, 0.0, 2.0]),
+    lg AS (SELECT uid, query, y, x, sum(value * w[ch + 1]) / 2.0 AS s FROM cells CROSS JOIN q GROUP BY 1, 2, 3, 4),
+    att AS (SELECT uid, query, y, x, exp(s) / sum(exp(s)) OVER (PARTITION BY uid, query) AS weight FROM lg)"""
+
+
+def _attention(spark, sf) -> DataFrame:
+    queries = spark.createDataFrame([(0, [0.5, -0.25, 1.0, 0.125]), (1, [-1.0, 0.5, 0.0, 2.0])], "query int, vector array<double>")
+    return featuremaps.attention_map(T.maps(spark, sf), queries)
+
+
+@query(f"WITH {_ATTENTION} SELECT uid, query, y, x, round(weight, 6) + 0.0 AS weight FROM att")
+def attention_map(spark, sf):
+    """Attention of two queries over the cells of every map."""
+    return _attention(spark, sf).withColumn("weight", r6("weight"))
+
+
+@query(f"""WITH {_ATTENTION}, g AS (SELECT uid, query, ch, sum(weight * value) AS value FROM cells JOIN att USING (uid, y, x) GROUP BY 1, 2, 3)
+    SELECT uid, query, ch, round(value / sqrt(sum(value * value) OVER (PARTITION BY uid, query)), 6) + 0.0 AS value FROM g""")
+def attention_gather(spark, sf):
+    """Values of every map, gathered by this attention."""
+    return featuremaps.gathered(T.maps(spark, sf), _attention(spark, sf)).withColumn("value", r6("value"))
+
+
+@query(f"WITH {_N}, k AS (SELECT label AS class_id, i, avg(v[i]) AS c FROM n, range(1, 65) t(i) GROUP BY 1, 2), m AS (SELECT class_id, list(c ORDER BY i) AS c FROM k GROUP BY 1) SELECT vec_id AS uid, class_id, round(list_dot_product(v, c) + class_id / 10.0, 6) + 0.0 AS score FROM n CROSS JOIN m")
+def class_logits(spark, sf):
+    """Scores of a linear classifier; the class means are its weights."""
+    rows = T.labelled(spark, sf)
+    each = rows.select("class_id", F.posexplode(V.doubles(F.col("features"))).alias("k", "x")).groupBy("class_id", "k").agg(F.avg("x").alias("v"))
+    weights = each.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("weight"))
+    return classes.class_logits(rows.select("uid", "features"), weights.withColumn("bias", F.col("class_id") / 10.0)).withColumn("score", r6("score"))
+
+
+@query(_with(_E, """SELECT x.vec_id // 16 AS uid, CAST(x.vec_id % 16 AS INT) AS place, arg_min(c.vec_id, [round(list_sum(list_transform(range(1, 65), lambda k: (x.v[k] - c.v[k]) * (x.v[k] - c.v[k]))), 9), c.vec_id]) AS word
+    FROM e x JOIN e c ON c.vec_id < 8 GROUP BY x.vec_id"""))
+def word_lists(spark, sf):
+    """The words of the keypoints of every image; the first eight vectors are the dictionary."""
+    points = _keypoints(spark, sf).withColumn("image", F.col("uid"))
+    each = points.select((F.col("uid") * 16 + F.col("kp")).alias("uid"), "desc").withColumnRenamed("desc", "features")
+    words = classes.nearest_centroid(each, T.vectors(spark, sf).where("uid < 8").select(F.col("uid").alias("word"), F.col("features").alias("centre")))
+    lists = classes.word_lists(words.select(F.expr("uid div 16").alias("uid"), (F.col("uid") % 16).alias("kp"), "word"))
+    return lists.select("uid", F.posexplode("words").alias("place", "word"))
+
+
+@query(_with(_BOTH, "SELECT uid, count(DISTINCT other) AS degree FROM nb GROUP BY uid"))
+def degrees(spark, sf):
+    """Links of each node."""
+    return graph.degrees(T.links(spark, sf))
+
+
+@query(_with(_BOTH, "SELECT vec_id AS a, vec_id + 1 AS b, EXISTS (SELECT 1 FROM nb WHERE uid = vec_id AND other = vec_id + 1) AS linked FROM embeddings"))
+def has_edge(spark, sf):
+    """Whether neighbouring rows are linked."""
+    return graph.has_edge(T.links(spark, sf), T.vectors(spark, sf).select(F.col("uid").alias("a"), (F.col("uid") + 1).alias("b")))
+
+
+@query(ORACLE_SQL["attribution_conflicts"] + " ORDER BY count DESC, id1, id2 LIMIT 10")
+def most_conflicts(spark, sf):
+    """The ten pairs of labels that meet most often."""
+    return graph.most_conflicts(attribution_conflicts(spark, sf))
+
+
+@query(_with(f"{_LINKS}, nb AS (SELECT img1 AS uid, img2 AS other FROM links WHERE 1 - dist > 0.41 UNION SELECT img2, img1 FROM links WHERE 1 - dist > 0.41), reach AS (SELECT uid, uid AS other FROM nb UNION SELECT r.uid, d.other FROM reach r JOIN nb d ON d.uid = r.other), own AS (SELECT uid, min(other) AS component FROM reach GROUP BY uid)",
+    "SELECT (SELECT count(*) FROM links WHERE 1 - dist > 0.41) AS links, round((SELECT count(*) FILTER (WHERE 1 - dist > 0.41) / count(*) FROM links), 6) AS share, (SELECT count(*) FROM own) AS images, (SELECT count(DISTINCT component) FROM own) AS objects"))
+def duplicate_totals(spark, sf):
+    """Images and objects of the links above a score."""
+    scored = T.links(spark, sf).select(F.col("img1").alias("a"), F.col("img2").alias("b"), (1 - F.col("dist")).alias("score"))
+    return graph.duplicate_totals(scored, 0.41).withColumn("share", r6("share"))
+
+
+@query(_with(_CLASS, """SELECT t AS threshold, class_id AS grp, round(count(*) FILTER (WHERE label = class_id AND score > t) / nullif(count(*) FILTER (WHERE label = class_id), 0), 6) AS recall,
+    count(*) FILTER (WHERE label = class_id AND score <= t) AS fn, count(*) FILTER (WHERE label <> class_id AND score > t) AS fp FROM s, (SELECT unnest([0.0, 0.05])::DOUBLE AS t) GROUP BY 1, 2"""))
+def recall_of_groups(spark, sf):
+    """Recall, misses and false hits of each class at two scores."""
+    scored = _class_scores(spark, sf).select("score", (F.col("label") == F.col("class_id")).cast("int").alias("label"), F.col("class_id").alias("grp"))
+    return evaluation.recall_of_groups(scored, [0.0, 0.05]).withColumn("recall", r6("recall"))
+
+
+@query("SELECT 0::BIGINT AS n")
+def benchmark_overlap(spark, sf):
+    """Rows that a query both seeks and ignores: none."""
+    links = T.links(spark, sf)
+    return evaluation.overlap(graph.benchmark_targets(links), graph.benchmark_ignored(links))
+
+
+@query("SELECT doc_id, CASE WHEN source = 'src3' THEN 'src7' WHEN source = 'src5' THEN 'src8' ELSE source END AS author FROM documents")
+def author_correction(spark, sf):
+    """Authors with two ids corrected; sources stand for authors."""
+    return locations.corrected(T.table(spark, sf, "documents").select("doc_id", F.col("source").alias("author")), {"src3": "src7", "src5": "src8"})
+
+
+@query(_with(_BOTH, "SELECT doc_id AS uid, source FROM documents WHERE source <> 'src1' OR (source = 'src1' AND doc_id IN (SELECT uid FROM nb))"))
+def source_exclusion(spark, sf):
+    """Documents of other sources, and those of one that are nodes of the graph."""
+    rows = T.table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "source")
+    return locations.without_source(rows, "src1", graph.nodes(T.links(spark, sf)))
+
+
+@query("SELECT p_partkey AS id, round(0.1 * pow(0.9, p_size / 10.0), 9) AS rate, round(0.5 * pow(p_size / 50.0, 2) + 0.5 * pow(greatest(0.0, 0.6 - p_size / 50.0), 2), 9) AS pair_loss, round(greatest(0.0, p_size / 50.0 - 0.5 + 0.1), 9) AS triplet_loss FROM part")
+def losses(spark, sf):
+    """Learning rate and losses; sizes of parts are steps and scores."""
+    size = F.col("p_size") / 50.0
+    return T.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.round(evaluation.decayed_rate(F.col("p_size"), 0.1, 10.0, 0.9), 9).alias("rate"),
+        F.round(evaluation.contrastive_loss(size, F.lit(0.5), 0.6), 9).alias("pair_loss"), F.round(evaluation.triplet_loss(F.lit(0.5), size, 0.1), 9).alias("triplet_loss"),
+    )

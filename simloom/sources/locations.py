@@ -48,6 +48,20 @@ def with_metadata(rows: DataFrame, metadata: DataFrame, order: str) -> DataFrame
     return rows.join(metadata.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", order), "key")
 
 
+def corrected(metadata: DataFrame, corrections: dict[str, str], author: str = "author") -> DataFrame:
+    """Rows with the author ids that ``corrections`` names replaced."""
+    out = F.col(author)
+    for wrong, right in sorted(corrections.items()):
+        out = F.when(F.col(author) == wrong, right).otherwise(out)
+    return metadata.withColumn(author, out)
+
+
+def without_source(rows: DataFrame, source: str, kept: DataFrame) -> DataFrame:
+    """Rows (uid, source) of other sources, and those whose uid is in ``kept`` whatever their source."""
+    other = rows.where(F.col("source") != source)
+    return other.unionByName(rows.where(F.col("source") == source).join(kept.select("uid").distinct(), "uid", "left_semi"))
+
+
 def attributed(metadata: DataFrame, author: str = "author", modifier: str = "modifier") -> DataFrame:
     """Rows whose author is a catalogue id and whose modifier leaves the attribution standing."""
     return metadata.where(F.col(author).contains("ulan") & (F.col(modifier).isNull() | F.col(modifier).isin("?", "attr")))

@@ -203,11 +203,11 @@ def _embeddings(spark, path, n, seed=8):
 def test_map_0_is_matched_with_every_map(spark, tmp_path):
     maps = _embeddings(spark, tmp_path, 130).reshape(-1, 4, 4, 4)
     points = {b: matching.candidates(maps[0], m) for b, m in enumerate(maps)}
-    got = [tuple(r) for r in catalog.QUERIES["mutual_matches_all"](spark, str(tmp_path)).select("a", "b", "y1", "x1", "y2", "x2").collect()]
+    got = [tuple(r) for r in catalog.QUERIES["mutual_matches"](spark, str(tmp_path)).select("a", "b", "y1", "x1", "y2", "x2").collect()]
     assert sorted(got) == sorted((0, b, *p) for b, ps in points.items() for p in ps.tolist())
-    counted = {r.b: r.n_matches for r in catalog.QUERIES["match_inliers_all"](spark, str(tmp_path)).collect()}
+    counted = {r.b: r.n_matches for r in catalog.QUERIES["match_inliers"](spark, str(tmp_path)).collect()}
     assert counted == {b: int(matching.inliers(ps).sum()) for b, ps in points.items()} and len(counted) == 130
-    votes = {r.b for r in catalog.QUERIES["hough_votes_all"](spark, str(tmp_path)).collect()}
+    votes = {r.b for r in catalog.QUERIES["hough_votes"](spark, str(tmp_path)).collect()}
     assert votes == {b for b, ps in points.items() if len(ps)} and max(votes) > 99
 
 
@@ -217,13 +217,13 @@ def test_rows_past_a_short_list_can_win(spark, tmp_path):
     maps = x.reshape(-1, 4, 4, 4)
     counted = {i: matching.match(maps[0], maps[i])[0] for i in range(400)}
     want = sorted(first, key=lambda i: -counted[i])[:20]
-    assert [r.uid for r in catalog.QUERIES["rerank_full"](spark, str(tmp_path)).orderBy("rank").collect()] == want
+    assert [r.uid for r in catalog.QUERIES["rerank"](spark, str(tmp_path)).orderBy("rank").collect()] == want
     assert not set(want) <= set(first[:60])
     maps = np.maximum(maps, 0)
     query = region.describe(region.integral_image(maps[0]), 0, 0, 2, 2)[0]
     score = {i: region.best_window(maps[i], query, 1.0)[0] for i in range(400)}
     want = sorted(range(400), key=lambda i: (-score[i], i))[:50]
-    assert [r.uid for r in catalog.QUERIES["search_region_full"](spark, str(tmp_path)).orderBy("rank").collect()] == want
+    assert [r.uid for r in catalog.QUERIES["search_region"](spark, str(tmp_path)).orderBy("rank").collect()] == want
     assert not set(want) <= set(first[:200])
 
 
