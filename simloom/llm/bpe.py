@@ -32,7 +32,7 @@ from simloom.llm.bytescan import slices
 from simloom.llm.columns import others
 
 #: Characters of a chunk, and of the overlap searched for a common boundary.
-CHUNK, OVERLAP = 1 << 14, 1 << 9
+CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Pieces remembered by a worker; beyond it the memory starts anew.
 REMEMBERED = 200_000
 
@@ -147,7 +147,7 @@ def _cut(chunk: int, overlap: int):
 
 
 def _boundaries(pattern: str, chunk: int, overlap: int):
-    """Chunks come in; with the ends of their pre-tokens, and the boundaries in either overlap, they go out.
+    """Chunks come in; with the boundaries in either overlap they go out.
 
     Of the right overlap the last two pieces stay out, which the cut may have changed:
     the last is shortened, and a run of spaces before it may end differently.
@@ -157,38 +157,43 @@ def _boundaries(pattern: str, chunk: int, overlap: int):
         split = regex.compile(pattern)
         for batch in batches:
             for part in parts(batch, "text"):
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list] = ([], [])
                 for text, more in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True):
                     ends = np.cumsum([len(p) for p in split.findall(text)])
                     starts = np.append(0, ends[:-1])
-                    out[0].append(ends.astype(np.int32))
-                    out[1].append(starts[starts < overlap].astype(np.int32))
+                    out[0].append(starts[starts < overlap].astype(np.int32))
                     sure = starts[:-2] if more else starts[:0]
-                    out[2].append((sure[sure >= chunk] - chunk).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.list_(pa.int32())) for x in out)], names=[*part.schema.names, "ends", "left", "right"])
+                    out[1].append((sure[sure >= chunk] - chunk).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.list_(pa.int32())) for x in out)], names=[*part.schema.names, "left", "right"])
 
     return run
 
 
 def long_texts(texts: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, ids: array of (k, ids) by k) of different texts (id, text) of more than one chunk."""
-    chunks = texts.mapInArrow(_cut(chunk, overlap), "id binary, k int, more boolean, text string").repartition("id", "k")
-    chunks = materialize(chunks.mapInArrow(_boundaries(pattern, chunk, overlap), "id binary, k int, more boolean, text string, ends array<int>, left array<int>, right array<int>"), "chunks")
+    """(id, ids: array of (k, ids) by k) of the different texts (id, text) of more than one chunk; rows may repeat."""
+    chunks = texts.mapInArrow(_cut(chunk, overlap), "id binary, k int, more boolean, text string")
+    chunks = chunks.groupBy("id", "k").agg(F.first("more").alias("more"), F.first("text").alias("text"))  # of equal texts one
+    chunks = materialize(chunks.mapInArrow(_boundaries(pattern, chunk, overlap), "id binary, k int, more boolean, text string, left array<int>, right array<int>"), "chunks")
     order = Window.partitionBy("id").orderBy("k")
     seams = chunks.select("id", "k", "more", F.array_min(F.array_intersect("right", F.lead("left").over(order))).alias("seam"))
     seams = seams.withColumn("begin", F.lag("seam", 1, 0).over(order))
     seams = materialize(seams, "seams")
     broken = materialize(seams.where("more and seam is null").select("id").distinct(), "broken")
-    whole = chunks.select("id", "k", "text", "ends").join(seams.join(broken, "id", "left_anti"), ["id", "k"]).select("id", "k", "text", "ends", "begin", (F.col("seam") + chunk).alias("end"))
+    whole = chunks.select("id", "k", "text").join(seams.join(broken, "id", "left_anti"), ["id", "k"]).select("id", "k", "text", "begin", (F.col("seam") + chunk).alias("end"))
 
     def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(ranks, pattern)
         for batch in batches:
             for part in parts(batch, "text"):
                 made = []
-                for text, ends, begin, end in zip(*(part.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                    inside = [x for x in ends if x > begin and (end is None or x <= end)]
-                    made.append(vocabulary.pieces([text[a:b] for a, b in zip([begin, *inside], inside, strict=False)]).astype("<u4").tobytes())
+                for text, begin, end in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                    pieces, at = [], begin
+                    for m in vocabulary.split.finditer(text, begin):
+                        if end is not None and at >= end:
+                            break
+                        pieces.append(m[0])
+                        at = m.end()
+                    made.append(vocabulary.pieces(pieces).astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], names=["id", "k", "ids"])
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +204,10 @@ def long_texts(texts: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, o
                 yield pa.RecordBatch.from_arrays([pa.array([ident], pa.binary()), pa.array([0], pa.int32()), pa.array([ids], pa.binary())], names=["id", "k", "ids"])
 
     schema = "id binary, k int, ids binary"
-    found = whole.mapInArrow(stitched, schema).unionByName(texts.join(broken, "id", "left_semi").mapInArrow(in_order, schema))
+    found = whole.mapInArrow(stitched, schema)
+    if not broken.isEmpty():
+        read = texts.join(broken, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        found = found.unionByName(read.mapInArrow(in_order, schema))
     return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("ids"))
 
 
@@ -209,8 +217,8 @@ def _split(docs: DataFrame, ranks: str, pattern: str, text: str, chunk: int, ove
     body = F.col("`\0text`")
     large = F.length(body) > chunk + overlap
     some = rows.where(large).select(F.struct(*(F.col(f"`{c}`") for c in named), F.lit(0).alias("\0none")).alias("row"), _text_id(body).alias("id"))
-    texts = docs.where(F.length(F.col(f"`{text}`")) > chunk + overlap).select(_text_id(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("text")).groupBy("id").agg(F.first("text").alias("text"))
-    made = materialize(long_texts(materialize(texts, "long-texts"), ranks, pattern, chunk, overlap), "long-ids")
+    texts = docs.where(F.length(F.col(f"`{text}`")) > chunk + overlap).select(_text_id(F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("text"))
+    made = long_texts(texts, ranks, pattern, chunk, overlap)
     return rows.where(F.coalesce(~large, F.lit(True))), some.join(made, "id").select("row.*", F.expr("transform(ids, x -> x.ids)").alias("\0ids")).drop("\0none")
 
 
