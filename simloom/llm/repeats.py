@@ -616,13 +616,12 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     rows = docs.select(F.col(key), text_id(text).alias("id"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("sha"))
     none = F.lit(0).cast("long")
     columns = [key, "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256")]
-    rows = rows.join(found, "id", "left")
     if passage:
         words = removals(docs, text, passage, PASSAGE_GRAM, WORDS)
-        words = materialize(words.select("id", F.col("n_removed").alias("inside"), F.col("n_spans").alias("passages")), "passages")
-        rows = rows.join(words, "id", "left")
+        words = words.select("id", F.col("n_removed").alias("inside"), F.col("n_spans").alias("passages"))
+        found = materialize(found.join(words, "id", "full"), "both")  # one table for one join, which can split a hot text
         columns += [F.coalesce("inside", none).alias("passage_bytes"), F.coalesce("passages", none).alias("n_passages")]
-    return rows.select(*columns)
+    return rows.join(found, "id", "left").select(*columns)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, unit: int = BYTES) -> DataFrame:

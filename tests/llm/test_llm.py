@@ -94,6 +94,21 @@ def test_separator_scan_over_any_blocks(spark, tmp_path):
         tokenfiles.write_token_files(rows, str(tmp_path / "b"), 5)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_token_counts_of_the_query(spark):
+    enc = bpe.Vocabulary.load(RANKS, PATTERN).encoding
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.n_tokens for r in queries.op9_token_counts(spark, SF).collect()} == {k: len(enc.encode_ordinary(t or "")) for k, t in texts.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_digests_of_the_repeats_query(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    want = dict(zip(texts, covered(list(texts.values()), 400)))
+    got = {r.doc_id: r for r in queries.op3_suffix_repeats(spark, SF).collect()}
+    assert {k: (r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == want and all(r.n_bytes == len(texts[k]) and r.passage_bytes <= r.n_bytes for k, r in got.items())
+
+
 def test_open_document_at_the_end_of_a_file(spark, tmp_path):
     np.array([7, 7, 9, 7, 7, 7], "<u2").tofile(tmp_path / "a.bin")
     np.array([7] * 5, "<u2").tofile(tmp_path / "b.bin")
