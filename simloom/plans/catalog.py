@@ -464,7 +464,7 @@ def triplet_candidates(spark, sf):
 
 @query()
 def candidate_pairs(spark, sf):
-    """Pairs of nodes and the first 20 results of their searches, reranked by inliers; too slow in SQL."""
+    """Pairs of nodes and the first 20 results of their searches, reranked by inliers."""
     links = T.links(spark, sf)
     return mining.candidate_pairs(links, matching.rerank_many(T.maps(spark, sf, False), T.results(spark, sf, links, region.SHORTLIST), 21))
 
