@@ -313,7 +313,7 @@ def test_neighbours_recall_and_odd_rows(spark):
     rows = [(i, [float(t) for t in v]) for i, v in enumerate(x)]
     rows += [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] * 16), (1150, []), (None, [1.0] * 16), (1200, [1.0, 2.0]), (0, [float(t) for t in x[0]])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = neighbours.nearest(frame, F.col("vec_id") % 50 == 0, 5, shard=200, block=5).collect()
+    found = neighbours.nearest(frame, F.col("vec_id") % 50 == 0, 5, shard=200).collect()
     y = x.astype(float)
     c = y @ y.T / np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(y, axis=1))
     np.fill_diagonal(c, -9)
