@@ -35,7 +35,7 @@ LINES, WIDTH = 128, 1.0
 THRESHOLD = int(0.683 * LINES - 1.5 * (0.683 * 0.317 * LINES) ** 0.5)
 #: Distances of vectors of length 1: the first radius, the greatest there is, and the factor by which radii grow.
 FIRST, GREATEST, STEP = 0.3, 2.0, 1.2
-#: Share of the radius left by known scores at which a search in another shard starts.
+#: Share of the radius that known scores leave, or at which the search before ended, where a search starts.
 START = 0.85
 SHARD = 16_384
 
@@ -50,6 +50,7 @@ class CollisionIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors, self.verified = ids, vectors, 0
+        self.first = FIRST  # where a search without known scores starts: near the radius at which the one before ended
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.lines = lines(vectors.shape[1])
         at = np.ascontiguousarray(((vectors / self.norms[:, None]) @ self.lines).T)
@@ -65,7 +66,7 @@ class CollisionIndex:
         ids, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
         best = np.sort(known)[::-1][:k]
         limit = _radius(best, k)
-        radius = FIRST if limit >= GREATEST else START * limit
+        radius = START * limit if limit < GREATEST else self.first
         low = high = None
         while True:
             if radius >= GREATEST:
@@ -89,6 +90,7 @@ class CollisionIndex:
                 best = np.sort(np.concatenate([best, cosine]))[::-1][:k]
                 limit = _radius(best, k)
             if radius >= limit:
+                self.first = max(FIRST, START * limit)
                 break
             radius = min(radius * STEP, limit)
         every, score = np.concatenate(ids), np.concatenate(scores)
@@ -158,7 +160,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", ve
     found = "id long, v array<double>, shard int, ids array<long>, scores array<double>"
 
     def search(asking: DataFrame) -> DataFrame:
-        return held.unionByName(asking).repartitionById(shards, F.col("shard")).sortWithinPartitions("d", "asks").mapInArrow(_searcher(k), found)
+        return held.unionByName(asking).repartitionById(shards, F.col("shard")).sortWithinPartitions("d", "asks", "id").mapInArrow(_searcher(k), found)
 
     home = materialize(search(asked), "home")
     others = F.explode(F.sequence(F.lit(1), F.lit(shards - 1))) if shards > 1 else F.explode(F.array().cast("array<int>"))
