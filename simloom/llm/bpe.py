@@ -34,7 +34,7 @@ from simloom.llm.columns import others
 #: Characters of a chunk, and of the overlap searched for a common boundary.
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Pieces remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 class Vocabulary:

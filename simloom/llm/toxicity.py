@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +49,8 @@ BETWEEN = " .-_*|/~"
 COST_SUBSTITUTE, COST_DROP_SYMBOL, COST_DROP_REPEAT, COST_DROP_BETWEEN, COST_KEEP_REPEAT, COST_PART = 0.7, 6.0, 0.4, 0.2, 0.5, 1.5
 #: Longest span whose decoding is remembered, and characters after which what all paths agree on is put out.
 REMEMBERED, COMMIT = 64, 32
+#: Decodings remembered by a worker; beyond it the memory starts anew.
+SPANS = 20_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,7 +162,7 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(SYMBOLS**ORDER, np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, 1 << 20):
                 gaps = np.insert(data[offsets[i] : offsets[j]], offsets[i + 1 : j] - offsets[i], 32) if j > i + 1 else data[offsets[i] : offsets[j]]
                 total += ngram_counts(gaps)
         at = np.flatnonzero(total)
@@ -187,14 +190,14 @@ class Decoder:
     """Viterbi decoding of spans, with a memory of spans seen."""
 
     def __init__(self, model: np.ndarray):
-        self.cost = model.reshape(-1).tolist()
+        self.cost = array("d", model.reshape(-1).tolist())
         self.memory: dict[str, str] = {}
 
     def restore(self, span: str) -> str:
         """The likeliest plain spelling of a span."""
         if (known := self.memory.get(span)) is None:
             known = self._viterbi(span.lower())
-            if len(self.memory) > 100_000:
+            if len(self.memory) >= SPANS:
                 self.memory.clear()
             if len(span) <= REMEMBERED:
                 self.memory[span] = known
