@@ -222,7 +222,7 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_blocks(similarity: float, margin: float):
-    """A pair of blocks of rows comes in; links that join rows of different classes go out."""
+    """A pair of blocks of rows comes in; pairs of classes that a link joins go out."""
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("row")
@@ -249,7 +249,7 @@ def _compare_blocks(similarity: float, margin: float):
                 x, y = find(int(cls[i])), find(int(cls[j]))
                 if x != y and probability_jaccard(sets[i], sets[j]) >= similarity:
                     root[max(x, y)] = min(x, y)
-                    out.append((int(row[i]), int(row[j])))
+                    out.append((int(cls[i]), int(cls[j])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
@@ -282,23 +282,27 @@ def _classed(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[D
     links = materialize(ordered.mapInArrow(_verify(similarity), "a long, b long").distinct(), "links")
 
     wide = connected_components(stars).select(F.col("node").alias("row"), F.col("component").alias("wide"))
-    narrow = connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("class"))
+    narrow = materialize(connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("class")), "narrow")
     split = wide.join(narrow, "row", "left").withColumn("class", F.coalesce("class", "row"))
     split = materialize(split.join(copies.where("id = row").select("row", "words"), "row"), "split")
     least = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS))
     open_sets = split.groupBy("wide").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"), least.alias("blocks")).where("x < y and n > 2").select("wide", "blocks")
     blocked = materialize(split.join(open_sets, "wide").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))), "blocked")
-    more = []
-    if not blocked.isEmpty():
+    if blocked.isEmpty():
+        linked = narrow.withColumnRenamed("class", "class_row")
+    else:
         ours = blocked.join(signed.select(F.col("id").alias("row"), "marks"), "row")
         texts = held.join(blocked.select("row"), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
         mine = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high"))))
         dealt = ours.join(texts, "row").withColumn("p", mine).select(F.xxhash64("wide", "p.low", "p.high").alias("deal"), "wide", "p.low", "p.high", "row", "class", "block", "marks", "text")
-        more.append(materialize(dealt.groupBy("deal", "wide", "low", "high").applyInArrow(_compare_blocks(similarity, MARGIN), "a long, b long"), "more-links"))
+        more = materialize(dealt.groupBy("deal", "wide", "low", "high").applyInArrow(_compare_blocks(similarity, MARGIN), "a long, b long"), "more-links")
+        # a class is named by its least row, so only the classes are connected anew, not their rows
+        merged = materialize(connected_components(more).select(F.col("node").alias("class"), F.col("component").alias("least")), "merged")
+        linked = narrow.join(merged, "class", "left").select("row", F.coalesce("least", "class").alias("class_row"))
+        alone = merged.join(narrow.select(F.col("row").alias("class")), "class", "left_anti")  # rows without a link before
+        linked = linked.unionByName(alone.select(F.col("class").alias("row"), F.col("least").alias("class_row")))
     release(held, signed, same, chunks, split, blocked)
-    for x in more:
-        links = links.unionByName(x)
-    return copies, connected_components(links).select(F.col("node").alias("row"), F.col("component").alias("class_row"))
+    return copies, linked
 
 
 def _digest(text: str) -> Column:
