@@ -144,6 +144,24 @@ def test_ignored_rows_of_a_large_component_are_made_once(spark):
     assert graph.ignore_closure(links).count() == n * n
 
 
+def test_benchmark_ignores_no_target(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBERS", 5)
+    monkeypatch.setattr(graph, "SHARE", 4)
+    rows = drawn_links(5, 80, 70)
+    links = spark.createDataFrame(rows, "img1 long, img2 long, type string")
+    want = {(u, m) for u, x in ignored_by_definition(rows).items() for m in x}
+    want -= {(x, y) for a, b, kind in rows if kind == "POSITIVE" for x, y in ((a, b), (b, a))}
+    got = [tuple(r) for r in graph.benchmark_ignored(links).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_ignored_rows_of_a_benchmark_are_made_once(spark):
+    n = 1_500
+    links = spark.range(1, n).select(F.lit(0).cast("long").alias("img1"), F.col("id").alias("img2"), F.lit("DUPLICATE").alias("type"))
+    links = links.unionByName(spark.range(0, n, 2).select(F.col("id").alias("img1"), (F.col("id") + 1).alias("img2"), F.lit("POSITIVE").alias("type")))
+    assert graph.benchmark_ignored(links).count() == n * n - n
+
+
 def ap(ranked, targets, ignored):
     hits, j, before, total = 0, 0, 1.0, 0.0
     for u in ranked:
