@@ -191,7 +191,7 @@ def refused(*_):
     raise AssertionError("all ignored rows were asked for")
 
 
-@pytest.mark.parametrize("name", ["eval_ap", "eval_final_pr", "eval_mean_ap", "eval_pr_thresholds", "eval_recall_at_n"])
+@pytest.mark.parametrize("name", ["eval_ap", "eval_final_pr", "eval_mean_ap", "eval_pr_thresholds", "eval_recall_at_n", "target_positions"])
 def test_evaluation_without_all_ignored_rows(spark, crowded, monkeypatch, name):
     with monkeypatch.context() as m:
         m.setattr(graph, "_expanded", refused)
