@@ -23,8 +23,8 @@ from simloom.functions.workspace import materialize, release
 
 #: Cells of a block, which is one row of their table.
 BLOCK = 65_536
-#: Quantiles looked at; the error of their ranks is at most the rows by ACCURACY.
-FINE, ACCURACY = 4_096, 10_000
+#: Rows that a task sorts at once, values kept of each chunk and task, and quantiles among which the bounds are.
+CHUNK, POINTS, FINE = 131_072, 2_048, 4_096
 #: A split must gain more than this for each row of its node; less is rounding.
 LEAST = 1e-12
 
@@ -102,18 +102,54 @@ def _features(column, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _points(values: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The values in the middle of n equal parts of the weight."""
+    order = np.argsort(values, kind="stable")
+    ranks = np.cumsum(weights[order])
+    return values[order][np.minimum(np.searchsorted(ranks, (np.arange(n) + 0.5) / n * ranks[-1]), len(values) - 1)]
+
+
 def bounds(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
-    """Upper bounds of all but the last bin of each feature of ``f``: between the values where they are few, else quantiles of all rows."""
-    asked = F.array(*(F.lit(k / FINE) for k in range(FINE + 1)))
-    found = rows.agg(*(F.percentile_approx(F.col("f")[k], asked, ACCURACY).alias(f"q{k}") for k in range(width))).first()
+    """Upper bounds of all but the last bin of each feature of ``f``: between the values where they are few, else quantiles.
+
+    All rows count: a task sorts them in chunks and keeps POINTS of each, then POINTS of those, so a rank is wrong by two rows in POINTS at most.
+    """
+
+    def task(batches):
+        chunks, held, n = [], [], 0
+
+        def close():
+            x = np.sort(np.concatenate(held).T, axis=1)
+            places = ((np.arange(POINTS) + 0.5) * n / POINTS).astype(np.int64)
+            chunks.append((x[:, places], x[:, 0].copy(), np.fmax.reduce(x, axis=1), n))  # a view would keep the whole chunk
+
+        for batch in batches:
+            held.append(_features(batch["f"], width))
+            n += batch.num_rows
+            if n >= CHUNK:
+                close()
+                held, n = [], 0
+        if n:
+            close()
+        if chunks:
+            points, low, high, sizes = zip(*chunks, strict=True)
+            x, w = np.concatenate(points, axis=1), np.repeat(np.array(sizes) / POINTS, POINTS)
+            out = np.stack([np.r_[np.min(low, axis=0)[k], _points(x[k], w, POINTS), np.fmax.reduce(high, axis=0)[k]] for k in range(width)])
+            yield pa.RecordBatch.from_pydict({"points": [out.tobytes()], "n": [sum(sizes)]})
+
+    found = rows.select("f").mapInArrow(task, "points binary, n long").collect()
+    points = [np.frombuffer(r["points"]).reshape(width, -1) for r in found]
+    weights = np.concatenate([np.r_[0.0, np.full(POINTS, r["n"] / POINTS), 0.0] for r in found]) if found else np.zeros(0)
     out = []
-    for quantiles in found:
-        all_ = np.array(quantiles if quantiles is not None else [], np.float64)
-        different = np.unique(all_[~np.isnan(all_)])
+    for k in range(width):
+        values = np.concatenate([p[k] for p in points]) if points else np.zeros(0)
+        different = np.unique(values[~np.isnan(values)])
         if len(different) <= bins:
             out.append((different[:-1] + different[1:]) / 2)
         else:
-            out.append(np.unique(all_[[round(k * FINE / bins) for k in range(1, bins)]]))
+            fine = _points(values, weights, FINE)
+            quantiles = np.unique(fine[[round(q * FINE / bins) for q in range(1, bins)]])
+            out.append(quantiles[~np.isnan(quantiles)])
     return out
 
 

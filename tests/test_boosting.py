@@ -43,6 +43,14 @@ def test_grid_is_chosen_in_one_job_for_each_level(spark):
     assert model.model.fold is None and len(model.model.trees) == 10
 
 
+def test_bounds_are_quantiles_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "CHUNK", 20_000)
+    rows = spark.range(200_000).select(F.array(F.exp(F.col("id") / 20_000), -F.col("id").cast("double"), (F.col("id") % 2).cast("double")).alias("f"))
+    a, b, c = boosting.bounds(rows, 3, 32)
+    ranks = np.arange(1, 32) * 200_000 / 32
+    assert np.abs(np.log(a) * 20_000 - ranks).max() < 300 and np.abs(b + 200_000 - ranks).max() < 300 and c.tolist() == [0.5]
+
+
 def test_each_row_is_in_one_fold_and_one_cell(spark):
     x, y, rows = _pair_rows(spark, 1500, 4)
     edges = boosting.bounds(rows, 10, 32)
